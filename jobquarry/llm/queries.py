@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from jobquarry.llm import simhash
+from jobquarry.llm import simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,34 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of repeated 20-word windows."""
+    found = substring.drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "removed")
+
+
+#: The same by comparing all windows as strings.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(w[i:i + 19], ' ') ORDER BY doc_id, i) AS n FROM s),
+c AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT doc_id, i, unnest(range(0, 20)) AS k FROM r WHERE n > 1)),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT p.doc_id, count(*) FILTER (c.i IS NOT NULL) AS n_removed,
+  string_agg(word, ' ' ORDER BY p.i) FILTER (c.i IS NULL) AS kept,
+  list(p.i - 1 ORDER BY p.i) FILTER (c.i IS NOT NULL) AS gone
+  FROM p LEFT JOIN c ON p.doc_id = c.doc_id AND p.i = c.i GROUP BY p.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256,
+  coalesce(array_to_string(list_transform(list_filter(k.gone, lambda x: NOT list_contains(k.gone, x - 1)),
+    lambda s: s || ':' || (list_min(list_filter(k.gone, lambda x: x >= s AND NOT list_contains(k.gone, x + 1))) + 1)), ','), '') AS removed
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
+    "op10_substring": op10_substring,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_substring": OP10_SQL,
+}

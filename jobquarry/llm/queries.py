@@ -11,13 +11,72 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobquarry.llm import simhash, substring
+from jobquarry.llm import chat_format, mixing, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts are control strings: digests of what is read back from the format."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = F.lit("</s>[INST] ok [/INST]").alias("text")
+    added = [
+        spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(n).cast("long").alias("turn"), F.lit(role).alias("role"), probe)
+        for n, role in enumerate(("user", "assistant"))
+    ]
+    done = chat_format.format_turns(chat_format.turns_from_table(c.unionByName(added[0]).unionByName(added[1])))
+    back = chat_format.read_back(F.col("formatted"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    done = done.withColumn("turns", back).withColumn("loss", chat_format.loss_text(F.col("formatted"), F.col("loss_spans")))
+    return done.select(
+        F.col("id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP3_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(text, '(<|\[)(\*)(CONTROL)', '\\', 'g') AS t,
+  regexp_replace(replace(replace(role, '', '\s'), chr(10), '
+'), '(<|\[)(\*)(CONTROL)', '\\', 'g') AS r FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(12 + length(r) + 1 + length(t) + 11)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+""".replace("CONTROL", chat_format.CONTROL)
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that the mix takes from each, in mixing order."""
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "virtual_finish")
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w
+  FROM d GROUP BY source),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size) OVER p, 0) * 2.0::DOUBLE) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level FROM s
+  WINDOW p AS (ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT source, source_size, CASE WHEN level * w >= source_size * 2.0::DOUBLE OR min(level) FILTER (level * w < source_size * 2.0::DOUBLE) OVER () IS NULL THEN source_size * 2.0::DOUBLE
+  ELSE min(level) FILTER (level * w < source_size * 2.0::DOUBLE) OVER () * w END AS target FROM l),
+o AS (SELECT d.doc_id, d.size, g.source_size, g.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix' || chr(31) || coalesce(d.doc_id::VARCHAR, '')), d.size, md5(d.t)
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN cum - size / 2.0::DOUBLE <= target THEN size ELSE 0 END + CASE WHEN cum + source_size - size / 2.0::DOUBLE <= target THEN size ELSE 0 END)::BIGINT AS taken,
+  CASE WHEN target > 0 THEN cum / target END AS virtual_finish
+FROM o
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those within two bits."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
@@ -47,10 +106,14 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_format": op3_chat_format,
+    "op5_mixing": op5_mixing,
     "op8_simhash": op8_simhash,
     "op10_substring": op10_substring,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_chat_format": OP3_SQL,
+    "op5_mixing": OP5_SQL,
     "op10_substring": OP10_SQL,
 }

@@ -14,8 +14,8 @@ leaf is the first occurrence, its other leaves are repeats. The forest is built
    windows of one task are contracted to the earliest, so a passage that a third of all documents carry
    reaches its group once for each task, not once for each document.
 4. A group sorts its leaves by path; runs of one path are its deep internal nodes. All leaves but the earliest
-   are returned as marked starts and joined to the documents; a document's marks are its own, so this is
-   bounded by its length.
+   go back as marked starts, are gathered by map task and joined to the documents; a document's marks are its
+   own, so this is bounded by its length.
 
 Fingerprints are sums of randomly weighted words; two different windows share one with a probability of about
 2^-63, so among n distinct windows about n^2 / 2^64 false repeats are expected (0.001 for the 135 million of a
@@ -34,6 +34,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ LEVELS = (1, 3, 8)
 #: Bins of the census at each level; 3 x 4096 counts come to the driver.
 BINS = 4096
 #: Suffixes that one subtree group should hold (about 10 bytes each).
-GROUP_ROWS = 4_000_000
+GROUP_ROWS = 2_000_000
 #: Bytes of text that a map task turns into rows at a time.
 CHUNK = 8 << 20
 
@@ -200,8 +201,8 @@ def grouping(counts: np.ndarray, group_rows: int) -> tuple[list[np.ndarray], int
 
 
 def repeated_starts(rows: DataFrame, window: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``id``, ``tag``, ``starts`` (uint32 words offsets, little-endian): parts of the starts of windows that occur
-    earlier, for documents that have any; ``rows`` has ``id``, ``tag`` and ``text``."""
+    """``id``, ``tag``, ``starts`` (uint32 word offsets, little-endian): the starts of windows that occur earlier,
+    for documents that have any; ``rows`` has ``id``, ``tag`` and ``text``."""
     groups, wide, spread = grouping(census(rows, window), group_rows)
 
     def route(hashes):
@@ -212,7 +213,8 @@ def repeated_starts(rows: DataFrame, window: int, group_rows: int = GROUP_ROWS)
         return group
 
     def send(batches):
-        for ids, tags, first, starts, hashes in chunks(batches, window):
+        task = TaskContext.get().partitionId() << 32
+        for nth, (ids, tags, first, starts, hashes) in enumerate(chunks(batches, window)):
             if not len(starts):
                 continue
             doc = np.searchsorted(first, starts, "right") - 1
@@ -221,45 +223,48 @@ def repeated_starts(rows: DataFrame, window: int, group_rows: int = GROUP_ROWS)
             kind[lead], kind[later] = 1, 2
             by = np.argsort(group, kind="stable")
             about = zlib.compress(ids.tobytes(), 1), zlib.compress(tags.astype(np.uint32).tobytes(), 1), packed(first, np.uint32)
-            out = {c: [] for c in ("grp", "ids", "tags", "first", "path", "lead", "later")}
+            out = {c: [] for c in ("chunk", "grp", "ids", "tags", "first", "path", "lead", "later")}
             for part in (by[run] for run in runs(group[by])):
                 ours, theirs = part[kind[part] == 1], part[kind[part] == 2]
-                values = (int(group[part[0]]), *about, hashes[-1][ours].tobytes(), packed(starts[ours], np.uint32), packed(starts[theirs], np.uint32))
+                values = (task + nth, int(group[part[0]]), *about, hashes[-1][ours].tobytes(), packed(starts[ours], np.uint32), packed(starts[theirs], np.uint32))
                 for c, v in zip(out, values, strict=True):
                     out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("grp", pa.int32()), *[(c, pa.binary()) for c in list(out)[1:]]]))
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("grp", pa.int32()), *[(c, pa.binary()) for c in list(out)[2:]]]))
 
     def nodes(table: pa.Table) -> pa.Table:
-        ids, tags, first, starts, path, owner, marks = [], [], [], [], [], [], []
-        for k, r in enumerate(table.select(["ids", "tags", "first", "path", "lead", "later"]).to_pylist()):
+        ids, first, starts, path, owner, marks = [], [], [], [], [], []
+        for k, r in enumerate(table.select(["ids", "first", "path", "lead", "later"]).to_pylist()):
             ids.append(np.frombuffer(zlib.decompress(r["ids"]), np.int64))
-            tags.append(np.frombuffer(zlib.decompress(r["tags"]), np.uint32))
             first.append(unpacked(r["first"], np.uint32))
             path.append(np.frombuffer(r["path"], np.uint64))
-            starts.append(unpacked(r["lead"], np.uint32))
+            starts.append(unpacked(r["lead"], np.uint32).astype(np.int32))
             owner.append(np.full(len(path[-1]), k, np.int32))
             marks.append([unpacked(r["later"], np.uint32)])
         doc = [np.searchsorted(f, s, "right") - 1 for f, s in zip(first, starts, strict=True)]
         order = np.concatenate([i[d] for i, d in zip(ids, doc, strict=True)])
-        pos = np.concatenate([s - f[d] for s, f, d in zip(starts, first, doc, strict=True)])
+        pos = np.concatenate([s - f[d].astype(np.int32) for s, f, d in zip(starts, first, doc, strict=True)])
         owner, start = np.concatenate(owner), np.concatenate(starts)
         _, later = earliest(np.concatenate(path), order, pos, False)
         later = later[np.argsort(owner[later], kind="stable")]
         for run in runs(owner[later]):
             marks[owner[later[run.start]]].append(start[later[run]])
-        out = {"id": [], "tag": [], "starts": []}
-        for k, m in enumerate(marks):
-            m = np.sort(np.concatenate(m))
-            of = np.searchsorted(first[k], m, "right") - 1
-            for run in runs(of):
-                one = of[run.start]
-                out["id"].append(int(ids[k][one]))
-                out["tag"].append(int(tags[k][one]))
-                out["starts"].append((m[run] - first[k][one]).astype(np.uint32).tobytes())
-        return pa.table(out, schema=pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("starts", pa.binary())]))
-
-    sent = rows.mapInArrow(send, "grp int, ids binary, tags binary, first binary, path binary, lead binary, later binary")
-    return sent.groupBy("grp").applyInArrow(nodes, "id long, tag long, starts binary")
+        found = [packed(np.sort(np.concatenate(m)), np.uint32) for m in marks]
+        return table.select(["chunk", "ids", "tags", "first"]).append_column("marks", pa.array(found, pa.binary()))
+
+    def by_document(table: pa.Table) -> pa.Table:
+        about = table.slice(0, 1).to_pylist()[0]
+        ids, tags = np.frombuffer(zlib.decompress(about["ids"]), np.int64), np.frombuffer(zlib.decompress(about["tags"]), np.uint32)
+        first = unpacked(about["first"], np.uint32)
+        marks = np.sort(np.concatenate([unpacked(m.as_py(), np.uint32) for m in table.column("marks")]))
+        of = np.searchsorted(first, marks, "right") - 1
+        parts = runs(of)
+        docs = np.array([of[run.start] for run in parts], np.int64)
+        starts = [(marks[run] - first[d]).astype(np.uint32).tobytes() for run, d in zip(parts, docs, strict=True)]
+        return pa.table([pa.array(ids[docs]), pa.array(tags[docs].astype(np.int64)), pa.array(starts, pa.binary())], ["id", "tag", "starts"])
+
+    sent = rows.mapInArrow(send, "chunk long, grp int, ids binary, tags binary, first binary, path binary, lead binary, later binary")
+    marked = sent.groupBy("grp").applyInArrow(nodes, "chunk long, ids binary, tags binary, first binary, marks binary")
+    return marked.groupBy("chunk").applyInArrow(by_document, "id long, tag long, starts binary")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -43,9 +43,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-e AS (SELECT *, regexp_replace(text, '(<|\[)(\*)(CONTROL)', '\\', 'g') AS t,
-  regexp_replace(replace(replace(role, '', '\s'), chr(10), '
-'), '(<|\[)(\*)(CONTROL)', '\\', 'g') AS r FROM c)
+e AS (SELECT *, regexp_replace(text, '(<|\[)(\\*)(CONTROL)', '\1\\\2\3', 'g') AS t,
+  regexp_replace(replace(replace(role, '\', '\s'), chr(10), '\n'), '(<|\[)(\\*)(CONTROL)', '\1\\\2\3', 'g') AS r FROM c)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobquarry.llm import chat_format, mixing, simhash, substring
+from jobquarry.llm import chat_format, mixing, pii, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data in all documents."""
+    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.concat(*[F.col(f"pii_base.{k}") for k in pii.BASE])
+    return found.select(
+        "doc_id",
+        *[F.size(f"pii_base.{k}").cast("long").alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(pii.as_text(base), 256).alias("base_sha256"),
+        pii.as_text(F.concat(base, F.col("pii_added"))).alias("spans"),
+    )
+
+
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of repeated 20-word windows."""
     found = substring.drop_repeats(table(spark, sf_dir, "documents"))
@@ -108,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op5_mixing": op5_mixing,
     "op8_simhash": op8_simhash,
+    "op9_pii": op9_pii,
     "op10_substring": op10_substring,
 }
 

@@ -34,6 +34,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -186,17 +187,19 @@ def census(rows: DataFrame, window: int) -> np.ndarray:
 
 def grouping(counts: np.ndarray, group_rows: int) -> tuple[list[np.ndarray], int, int]:
     """For each level, the group of each bin (-1: too common, a longer prefix decides); the first group of
-    whole-window prefixes and how many there are."""
-    groups, at = [], 0
+    whole-window prefixes and how many there are. Of a level's bins only the ``share`` counts whose shorter
+    prefixes are too common."""
+    groups, at, share = [], 0, 1.0
     for of in counts:
-        own, filled = np.full(BINS, -1, np.int32), 0
+        own, filled = np.full(BINS, -1, np.int32), 0.0
         for b in np.flatnonzero(of <= group_rows):
-            if filled + of[b] > group_rows:
-                at, filled = at + 1, 0
-            own[b], filled = at, filled + of[b]
+            if filled + of[b] * share > group_rows:
+                at, filled = at + 1, 0.0
+            own[b], filled = at, filled + of[b] * share
         groups.append(own)
         at += 1
-    common = int(counts[-1][counts[-1] > group_rows].sum()) if len(counts) else group_rows
+        share *= of[of > group_rows].sum() / max(1, of.sum())
+    common = int(share * counts[0].sum()) if len(counts) else group_rows
     return groups, at, max(1, -(-common // group_rows))
 
 
@@ -222,11 +225,11 @@ def repeated_starts(rows: DataFrame, window: int, group_rows: int = GROUP_ROWS)
             group, kind = route(hashes), np.zeros(len(starts), np.int8)
             kind[lead], kind[later] = 1, 2
             by = np.argsort(group, kind="stable")
-            about = zlib.compress(ids.tobytes(), 1), zlib.compress(tags.astype(np.uint32).tobytes(), 1), packed(first, np.uint32)
-            out = {c: [] for c in ("chunk", "grp", "ids", "tags", "first", "path", "lead", "later")}
+            about, names = (packed(ids, np.int64), packed(first, np.uint32)), zlib.compress(tags.astype(np.uint32).tobytes(), 1)
+            out = {c: [] for c in ("chunk", "grp", "ids", "first", "tags", "path", "lead", "later")}
             for part in (by[run] for run in runs(group[by])):
                 ours, theirs = part[kind[part] == 1], part[kind[part] == 2]
-                values = (task + nth, int(group[part[0]]), *about, hashes[-1][ours].tobytes(), packed(starts[ours], np.uint32), packed(starts[theirs], np.uint32))
+                values = (task + nth, int(group[part[0]]), *about, None if out["chunk"] else names, hashes[-1][ours].tobytes(), packed(starts[ours], np.uint32), packed(starts[theirs], np.uint32))
                 for c, v in zip(out, values, strict=True):
                     out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("grp", pa.int32()), *[(c, pa.binary()) for c in list(out)[2:]]]))
@@ -234,7 +237,7 @@ def repeated_starts(rows: DataFrame, window: int, group_rows: int = GROUP_ROWS)
     def nodes(table: pa.Table) -> pa.Table:
         ids, first, starts, path, owner, marks = [], [], [], [], [], []
         for k, r in enumerate(table.select(["ids", "first", "path", "lead", "later"]).to_pylist()):
-            ids.append(np.frombuffer(zlib.decompress(r["ids"]), np.int64))
+            ids.append(unpacked(r["ids"], np.int64))
             first.append(unpacked(r["first"], np.uint32))
             path.append(np.frombuffer(r["path"], np.uint64))
             starts.append(unpacked(r["lead"], np.uint32).astype(np.int32))
@@ -249,11 +252,12 @@ def repeated_starts(rows: DataFrame, window: int, group_rows: int = GROUP_ROWS)
         for run in runs(owner[later]):
             marks[owner[later[run.start]]].append(start[later[run]])
         found = [packed(np.sort(np.concatenate(m)), np.uint32) for m in marks]
-        return table.select(["chunk", "ids", "tags", "first"]).append_column("marks", pa.array(found, pa.binary()))
+        about = [[r[c] if r["tags"] is not None else None for r in table.select(["ids", "first", "tags"]).to_pylist()] for c in ("ids", "first", "tags")]
+        return pa.table([table.column("chunk"), *[pa.array(x, pa.binary()) for x in (*about, found)]], ["chunk", "ids", "first", "tags", "marks"])
 
     def by_document(table: pa.Table) -> pa.Table:
-        about = table.slice(0, 1).to_pylist()[0]
-        ids, tags = np.frombuffer(zlib.decompress(about["ids"]), np.int64), np.frombuffer(zlib.decompress(about["tags"]), np.uint32)
+        about = next(r for r in table.select(["ids", "first", "tags"]).to_pylist() if r["tags"] is not None)
+        ids, tags = unpacked(about["ids"], np.int64), np.frombuffer(zlib.decompress(about["tags"]), np.uint32)
         first = unpacked(about["first"], np.uint32)
         marks = np.sort(np.concatenate([unpacked(m.as_py(), np.uint32) for m in table.column("marks")]))
         of = np.searchsorted(first, marks, "right") - 1
@@ -262,8 +266,8 @@ def repeated_starts(rows: DataFrame, window: int, group_rows: int = GROUP_ROWS)
         starts = [(marks[run] - first[d]).astype(np.uint32).tobytes() for run, d in zip(parts, docs, strict=True)]
         return pa.table([pa.array(ids[docs]), pa.array(tags[docs].astype(np.int64)), pa.array(starts, pa.binary())], ["id", "tag", "starts"])
 
-    sent = rows.mapInArrow(send, "chunk long, grp int, ids binary, tags binary, first binary, path binary, lead binary, later binary")
-    marked = sent.groupBy("grp").applyInArrow(nodes, "chunk long, ids binary, tags binary, first binary, marks binary")
+    sent = rows.mapInArrow(send, "chunk long, grp int, ids binary, first binary, tags binary, path binary, lead binary, later binary")
+    marked = sent.groupBy("grp").applyInArrow(nodes, "chunk long, ids binary, first binary, tags binary, marks binary")
     return marked.groupBy("chunk").applyInArrow(by_document, "id long, tag long, starts binary")
 
 
@@ -281,10 +285,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marks = marks.groupBy("id", "tag").agg(F.collect_list("starts").alias("starts"))
 
     def cut(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             n_words, n_removed, kept, removed = [], [], [], []
             for text, parts in zip(batch.column("text"), batch.column("starts"), strict=True):
-                words = (text.as_py() or "").encode().split()
+                words = unpack(text.as_py()).split()
                 gone = np.zeros(len(words) + 1, np.int32)
                 for part in parts.as_py() or ():
                     at = np.frombuffer(part, np.uint32).astype(np.int64)
@@ -298,5 +303,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 removed.append(",".join(f"{s}:{e}" for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)))
             yield pa.RecordBatch.from_arrays([batch.column("own"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(removed, pa.string())], ["id", "n_words", "n_removed", "kept", "removed"])
 
-    joined = keyed.join(marks, ["id", "tag"], "left").select("own", "text", "starts")
+    def small(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = pa.array([pack((t.as_py() or "").encode()) for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("own", "id", "tag")), texts], ["own", "id", "tag", "text"])
+
+    texts = keyed.mapInArrow(small, "own long, id long, tag long, text binary")
+    joined = texts.join(marks, ["id", "tag"], "left").select("own", "text", "starts")
     return joined.mapInArrow(cut, "id long, n_words long, n_removed long, kept string, removed string").withColumnRenamed("id", id_col)

@@ -11,13 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobquarry.llm import chat_format, mixing, pii, simhash, substring
+from jobquarry.llm import chat_format, html_extract, mixing, pii, simhash, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    found = html_extract.extract_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts are control strings: digests of what is read back from the format."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -53,6 +59,16 @@ FROM e GROUP BY conv_id
 """.replace("CONTROL", chat_format.CONTROL)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their toxicity score."""
+    docs = table(spark, sf_dir, "documents")
+    grammar = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic"))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), grammar)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_matches"
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes from each, in mixing order."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -117,7 +133,9 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
     "op3_chat_format": op3_chat_format,
+    "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobquarry.llm import chat_format, html_extract, mixing, pii, simhash, substring, toxicity
+from jobquarry.llm import chat_format, decontam, embed_dedup, html_extract, mixing, pii, quality, simhash, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.95 or more."""
+    found = embed_dedup.vector_components(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts are control strings: digests of what is read back from the format."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -92,6 +98,16 @@ FROM o
 """
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document that holds a benchmark item, with the item and the share of its shingles."""
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their quality score; no labels are read."""
+    return quality.score_quality(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of those within two bits."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
@@ -134,9 +150,12 @@ FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
+    "op2_embeddings": op2_embeddings,
     "op3_chat_format": op3_chat_format,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
+    "op6_decontamination": op6_decontamination,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_pii": op9_pii,
     "op10_substring": op10_substring,

@@ -18,15 +18,15 @@ ignored; repeated label rows count once each; without labels the built-in list a
 scored like any other; extra columns are dropped; an empty table gives an empty result.
 """
 
-from __future__ import annotations
-
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -263,3 +263,15 @@ def score_documents(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, pa.float64()), pa.array(counts, pa.int32())], [*names, "score", "n_matches"])
 
     return kept.mapInArrow(each, schema)
+
+
+def drop_toxic(docs: DataFrame, grammar: Grammar, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows and columns of ``docs`` whose texts score below ``threshold``; only texts leave the JVM."""
+
+    @F.pandas_udf("boolean")
+    def fine(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = grammar.automaton()
+        for batch in texts:
+            yield pd.Series([grammar.score(features(t, automaton)) < threshold for t in batch], dtype=bool)
+
+    return docs.where(fine(F.col(text_col).cast("string")))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobquarry.llm.common import PREFIX, WORD
+from jobquarry.llm.common import PREFIX, WORD, Workspace
 
 
 def word_count(text: Column) -> Column:
@@ -62,44 +62,44 @@ def mix_sources(
     share: float = 1.5,
     repeats: int = 2,
     seed: str = "mix",
+    ordered: bool = True,
 ) -> DataFrame:
-    """All rows of ``docs`` with ``size`` (words), ``source_size``, ``target``, ``taken`` (words that the mix takes,
-    repeats counted) and ``virtual_finish`` (of the first serving; null if the target is 0), globally sorted by it."""
+    """All rows of ``docs`` with ``size`` (words), ``source_size``, ``target``, ``taken`` (words that the mix takes, repeats
+    counted) and ``virtual_finish`` (of the first serving; null if the target is 0), globally sorted by it if ``ordered``.
+
+    Times are worked out on a written table of keys and sizes; texts are shuffled once, to meet them, and once more only
+    to be sorted."""
     p = PREFIX
-    own = F.col(id_col).cast("string")
-    rows = docs.drop(*[c for c in ("size", "source_size", "target", "taken", "virtual_finish") if c not in (id_col, text_col, source_col)])
-    rows = rows.select(
-        "*",
-        F.col(source_col).cast("string").alias(p + "source"),
-        word_count(F.col(text_col)).alias("size"),
-        F.md5(F.concat_ws("\x1f", F.lit(seed), F.coalesce(own, F.lit("")))).alias(p + "order"),
-    )
-    sizes = rows.groupBy(F.col(p + "source").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    targets = source_targets(sizes, weights, share, repeats)
+    ws = Workspace(docs.sparkSession, "mix")
+    text, source = F.col(text_col).cast("string"), F.col(source_col).cast("string")
+    own = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    key = F.xxhash64(F.col(id_col).isNull(), own, text.isNull(), text, source.isNull(), source)
+    shuffled = F.struct(F.md5(F.concat_ws("\x1f", F.lit(seed), own)).alias("id"), word_count(text).alias("size"), F.md5(F.coalesce(text, F.lit(""))).alias("text"))
+    rows = ws.write(docs.select(key.alias("key"), source.alias("source"), word_count(text).alias("size"), shuffled.alias("order")))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     everything = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per_range = F.greatest(F.lit(1000.0), F.sqrt(F.sum("n").over(everything).cast("double")))
-    targets = targets.select(F.col("source").alias(p + "of"), "source_size", "target", F.ceil(F.col("n") / per_range).alias(p + "ranges"))
-    placed = rows.join(targets, F.col(p + "source").eqNullSafe(F.col(p + "of")))
-    at = F.conv(F.substring(p + "order", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    placed = placed.withColumn(p + "range", F.floor(at * F.col(p + "ranges")).cast("long"))
-    sums = placed.groupBy(F.col(p + "of").alias(p + "s"), F.col(p + "range").alias(p + "r")).agg(F.sum("size").alias(p + "sum"))
-    earlier = Window.partitionBy(p + "s").orderBy(p + "r").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(p + "s", p + "r", F.coalesce(F.sum(p + "sum").over(earlier), F.lit(0)).alias(p + "base"))
-    text_order = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    within = Window.partitionBy(p + "of", p + "range").orderBy(p + "order", "size", text_order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn(p + "cum", F.sum("size").over(within))
-    placed = placed.join(sums, F.col(p + "of").eqNullSafe(F.col(p + "s")) & (F.col(p + "range") == F.col(p + "r")))
-    done = F.col(p + "base") + F.col(p + "cum")
-    half = F.col("size") / F.lit(2.0)
-    served = [F.when(done + F.col("source_size") * k - half <= F.col("target"), F.col("size")).otherwise(F.lit(0)) for k in range(repeats)]
-    taken = served[0]
-    for s in served[1:]:
-        taken = taken + s
-    mixed = placed.select(
-        *[F.col(f"`{c}`") for c in rows.columns if not c.startswith(p)],
-        "source_size",
-        "target",
-        taken.cast("long").alias("taken"),
-        F.when(F.col("target") > 0, done / F.col("target")).alias("virtual_finish"),
+    targets = source_targets(sizes, weights, share, repeats)
+    targets = targets.select(F.col("source").alias("of"), "source_size", "target", F.ceil(F.col("n") / per_range).alias("ranges"))
+    at = F.conv(F.substring("order.id", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    placed = rows.join(targets, F.col("source").eqNullSafe(F.col("of"))).withColumn("range", F.floor(at * F.col("ranges")).cast("long"))
+    sums = placed.groupBy(F.col("of").alias("s"), F.col("range").alias("r")).agg(F.sum("size").alias("sum"))
+    earlier = Window.partitionBy("s").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("s", "r", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("base"))
+    within = Window.partitionBy("of", "range").orderBy("order").rowsBetween(Window.unboundedPreceding, 0)
+    placed = placed.withColumn("cum", F.sum("size").over(within)).join(sums, F.col("of").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
+    # Rows of one key follow each other, so the first one's time tells the others'.
+    times = placed.groupBy(F.col("key").alias(f"{p}key")).agg(
+        F.min(F.col("base") + F.col("cum")).alias(f"{p}done"), *[F.first(c).alias(f"{p}{c}") for c in ("size", "source_size", "target")]
     )
-    return mixed.orderBy(F.col("virtual_finish").asc_nulls_last(), id_col)
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map", "variant"))]
+    nth = F.row_number().over(Window.partitionBy(f"{p}key").orderBy(F.xxhash64(*hashed)))
+    met = docs.withColumn(f"{p}key", key).join(times, f"{p}key").withColumn(f"{p}nth", nth)
+    size, target = F.col(f"{p}size"), F.col(f"{p}target")
+    done = F.col(f"{p}done") + (F.col(f"{p}nth") - 1) * size
+    taken = F.lit(0).cast("long")
+    for k in range(repeats):
+        taken = taken + F.when(done + F.col(f"{p}source_size") * k - size / F.lit(2.0) <= target, size).otherwise(F.lit(0))
+    added = {"size": size, "source_size": F.col(f"{p}source_size"), "target": target, "taken": taken, "virtual_finish": F.when(target > 0, done / target)}
+    mixed = met.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *[v.alias(c) for c, v in added.items()])
+    return mixed.orderBy(F.col("virtual_finish").asc_nulls_last(), id_col) if ordered else mixed

@@ -251,7 +251,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 def score_documents(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """The id, ``score``, ``n_matches`` and the columns ``keep`` of every row."""
     kept = docs.select(F.col(id_col), *[F.col(f"`{c}`") for c in keep if c != id_col], F.col(text_col).cast("string").alias("__jq_text"))
-    schema = kept.drop("__jq_text").schema.add("score", "double").add("n_matches", "int")
+    schema = kept.drop("__jq_text").schema.add("score", "double").add("n_matches", "integer")
 
     def each(batches):
         automaton = grammar.automaton()

@@ -64,6 +64,8 @@ SITE = frozenset("header site page top global main".split())
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: Classes of articles that are comments ("comments-open" speaks of an article that may have some).
+COMMENT = re.compile(r"(?i)(?<![a-z])comments?(?![a-z-]*-?(?:open|closed|enabled|disabled|on|off|count))(?![a-z])")
 PUNCTUATION = re.compile(r"[.,;:!?…、。]")
 #: A path is content if its fused ratio reaches this share of the text-weighted mean.
 SHARE = 0.35
@@ -139,7 +141,8 @@ class Page:
             for m in ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), (m[2] or "").strip("\"'")
                 if name in ("class", "id"):
-                    drop |= tag not in ("article", "main") and marked(value, self.open["article"] + self.open["main"] > 0) or tag == "article" and "comment" in value.lower()
+                    framed = self.open["article"] + self.open["main"] > 0
+                    drop |= COMMENT.search(value) is not None if tag == "article" else tag != "main" and marked(value, framed)
                 elif name == "role":
                     drop |= value.lower() in ROLES
                 elif name == "style":
@@ -243,7 +246,7 @@ def main_blocks(html: str) -> list[str]:
             while e > 0:
                 weight[e] += len(text)
                 e = page.parent[e]
-    node = max((e for e, w in weight.items() if 5 * w >= 3 * total), default=0)
+    node = max((e for e, w in weight.items() if 5 * w >= 4 * total), default=0)
     own = {e for _, e, _ in scored}
     if node in own and node > 0:
         node = page.parent[node]

@@ -49,7 +49,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, r
     to_share = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
     levels = weighted.select("*", (left / to_share).alias("level"), total.alias("total"))
     full = F.col("level") * F.col("w") >= most
-    shared = F.min(F.when(~full, F.col("level"))).over(everything)
+    # The first one that is not full has the level; those after it lie lower.
+    shared = F.max(F.when(~full, F.col("level"))).over(everything)
     return levels.select("source", "source_size", "n", F.when(full | shared.isNull(), most).otherwise(shared * F.col("w")).alias("target"))
 
 

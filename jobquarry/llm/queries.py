@@ -87,8 +87,8 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (
   FROM d GROUP BY source),
 l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size) OVER p, 0) * 2.0::DOUBLE) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level FROM s
   WINDOW p AS (ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g AS (SELECT source, source_size, CASE WHEN level * w >= source_size * 2.0::DOUBLE OR min(level) FILTER (level * w < source_size * 2.0::DOUBLE) OVER () IS NULL THEN source_size * 2.0::DOUBLE
-  ELSE min(level) FILTER (level * w < source_size * 2.0::DOUBLE) OVER () * w END AS target FROM l),
+g AS (SELECT source, source_size, CASE WHEN level * w >= source_size * 2.0::DOUBLE OR max(level) FILTER (level * w < source_size * 2.0::DOUBLE) OVER () IS NULL THEN source_size * 2.0::DOUBLE
+  ELSE max(level) FILTER (level * w < source_size * 2.0::DOUBLE) OVER () * w END AS target FROM l),
 o AS (SELECT d.doc_id, d.size, g.source_size, g.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix' || chr(31) || coalesce(d.doc_id::VARCHAR, '')), d.size, md5(d.t)
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,

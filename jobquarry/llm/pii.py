@@ -29,6 +29,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobquarry.llm.common import PREFIX
+
 SPAN = "struct<kind:string,start:int,end:int>"
 SPANS = f"array<{SPAN}>"
 
@@ -313,14 +315,14 @@ def _order(s: Column) -> Column:
     return F.struct(F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"]), s["start"], s["end"])
 
 
-def find_spans(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """``docs`` with ``base`` (map-like struct of arrays by kind, under ``pii_base``) and ``pii_added`` (further
-    spans), each (kind, start, end) in code points, end exclusive, by kind and start."""
+def find_spans(docs: DataFrame, text_col: str = "text", model: Model | None = None, base: str = "pii_base", added: str = "pii_added") -> DataFrame:
+    """``docs`` with two columns: ``base``, a struct with an array of spans for each base kind, and ``added``, an array of
+    further spans. A span is (kind, start, end) in code points, end exclusive; arrays are in order of start."""
     model = model or fit(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.withColumn("pii_base", F.struct(*[v.cast(SPANS).alias(k) for k, v in base_spans(text).items()]))
-    together = F.concat(*[F.col(f"pii_base.{k}") for k in BASE])
-    return found.withColumn("pii_added", added_spans(text, together, model).cast(SPANS))
+    found = docs.withColumn(base, F.struct(*[v.cast(SPANS).alias(k) for k, v in base_spans(text).items()]))
+    together = F.concat(*[F.col(f"{base}.{k}") for k in BASE])
+    return found.withColumn(added, added_spans(text, together, model).cast(SPANS))
 
 
 def as_text(spans: Column) -> Column:
@@ -330,8 +332,9 @@ def as_text(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None, model: Model | None = None) -> DataFrame:
     """The rows and columns of ``docs`` with each span of personal data replaced by its kind in brackets; overlapping
     spans become one, named by the first. ``length_col``, if given, is set to the new length of changed texts."""
-    found = find_spans(docs, text_col, model)
-    spans = F.concat(*[F.col(f"pii_base.{k}") for k in BASE], F.col("pii_added"))
+    base, added, cut = (PREFIX + c for c in ("base", "added", "spans"))
+    found = find_spans(docs, text_col, model, base, added)
+    spans = F.concat(*[F.col(f"{base}.{k}") for k in BASE], F.col(added))
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     merged = F.aggregate(
         by_start,
@@ -344,14 +347,14 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
             ),
         ).otherwise(F.concat(a, F.array(s))),
     )
-    found = found.withColumn("pii_spans", F.when(F.size(spans) > 0, merged))
+    found = found.withColumn(cut, F.when(F.size(spans) > 0, merged))
     text = F.col(text_col)
-    before = F.transform("pii_spans", lambda s, i: F.when(i > 0, F.get("pii_spans", i - 1)["end"]).otherwise(F.lit(0)))
-    pieces = F.zip_with(F.col("pii_spans"), before, lambda s, b: F.concat(F.substr(text, b + 1, s["start"] - b), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    tail = F.substr(text, F.element_at("pii_spans", -1)["end"] + 1)
-    new = F.when(F.col("pii_spans").isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+    before = F.transform(cut, lambda s, i: F.when(i > 0, F.get(cut, i - 1)["end"]).otherwise(F.lit(0)))
+    pieces = F.zip_with(F.col(cut), before, lambda s, b: F.concat(F.substr(text, b + 1, s["start"] - b), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    tail = F.substr(text, F.element_at(cut, -1)["end"] + 1)
+    new = F.when(F.col(cut).isNotNull(), F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
     out = found.withColumn(text_col, new)
     if length_col:
-        changed = F.when(F.col("pii_spans").isNotNull(), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
+        changed = F.when(F.col(cut).isNotNull(), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col))
         out = out.withColumn(length_col, changed)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

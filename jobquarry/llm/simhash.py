@@ -179,8 +179,8 @@ def link_near(fps: np.ndarray, max_bits: int, labels: Labels) -> None:
             todo += [(at[left], 2 * seed % 1_000_003), (at[right], (2 * seed + 1) % 1_000_003)]
             continue
         for s in range(0, len(at), DIRECT):
-            for t in range(s, len(at), 8192):
-                i, j = np.nonzero(np.bitwise_count(own[s : s + DIRECT, None] ^ own[None, t : t + 8192]) <= max_bits)
+            for t in range(s, len(at), 1024):
+                i, j = np.nonzero(np.bitwise_count(own[s : s + DIRECT, None] ^ own[None, t : t + 1024]) <= max_bits)
                 i, j = i + s, j + t
                 keep = i < j
                 labels.link(at[i[keep]], at[j[keep]])

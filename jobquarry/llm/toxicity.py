@@ -42,6 +42,7 @@ PREFIXES = (4, 5, 6, 7, 8)
 INSULTS = ("idiot", "stupid", "moron", "worthless", "pathetic", "disgusting", "loser", "scum", "trash", "filth", "vermin", "imbecile", "dumb", "clown", "retard")
 THREATS = ("kill", "hurt", "destroy", "burn", "stab", "shoot", "beat", "strangle")
 TARGETS = frozenset("you your yours u ya he she they them these those du dich dein ihr euch tu te toi vous votre vos tú ti usted ustedes vosotros".split())
+INTENTIONS = frozenset("will gonna going shall should must ll deserve deserves werde wirst vais va allons voy vamos".split())
 NEGATIONS = frozenset("not no never neither nor isn aren wasn weren don doesn didn won nicht kein keine keiner nie niemals ne pas jamais aucun nunca jamás ningún tampoco".split())
 REPORTS = frozenset("said says say called calls wrote writes told quoted claimed reported sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
 QUOTES = "\"“„«»”"
@@ -102,6 +103,13 @@ def context(text: str, start: int) -> str:
     return state
 
 
+def threatens(text: str, start: int, end: int) -> bool:
+    """Whether a threat's word has an intention before it and a target after it, in its clause."""
+    before = CLAUSE.split(text[max(0, start - 60) : start])[-1]
+    after = CLAUSE.split(text[end : end + 40])[0]
+    return not INTENTIONS.isdisjoint(WORD.findall(before)[-4:]) and not TARGETS.isdisjoint(WORD.findall(after)[:3])
+
+
 def matches(text: str, automaton) -> list[tuple[int, float, str]]:
     """(start, weight, state) of the matches in lower-cased ``text``: at each word the heaviest entry."""
     best: dict[int, float] = {}
@@ -111,6 +119,8 @@ def matches(text: str, automaton) -> list[tuple[int, float, str]]:
                 start = end - size + 1
                 if (start and text[start - 1].isalpha()) or (whole and end + 1 < len(text) and text[end + 1].isalpha()):
                     continue
+                if text[start : end + 1] in THREATS and not threatens(text, start, end + 1):
+                    continue
                 if weight > best.get(start, -1.0):
                     best[start] = weight
     return [(s, w, context(text, s)) for s, w in sorted(best.items())]
@@ -186,30 +196,51 @@ def tail(p: int, n: int, rate: float) -> float:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, np.ndarray]:
-    """Newton steps for a logistic model with non-negative slopes kept by clipping."""
-    z = np.hstack([np.ones((len(x), 1)), x])
-    w, penalty = np.zeros(z.shape[1]), np.diag([0.0] + [ridge] * x.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + penalty @ w
-        hess = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + penalty + 1e-6 * np.eye(len(w))
-        move = np.linalg.solve(hess, grad)
-        w -= move * min(1.0, 4.0 / (np.abs(move).max() + 1e-12))
-        w[1:] = np.maximum(w[1:], 0.0)
-    return float(w[0]), w[1:]
+    """A logistic model with slopes that are not negative: features whose slope would be are left out, one by one."""
+    active = list(range(x.shape[1]))
+    while True:
+        w = _newton(np.hstack([np.ones((len(x), 1)), x[:, active]]), y, ridge)
+        if not len(active) or w[1:].min() >= 0:
+            out = np.zeros(x.shape[1])
+            out[active] = w[1:]
+            return float(w[0]), out
+        active.pop(int(np.argmin(w[1:])))
+
+
+def _newton(z: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """Newton steps, halved until the penalised loss falls."""
+    penalty = np.array([0.0] + [ridge] * (z.shape[1] - 1))
+    loss = lambda w: float(np.logaddexp(0, z @ w).sum() - y @ (z @ w) + 0.5 * (penalty * w * w).sum())
+    w = np.zeros(z.shape[1])
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
+        grad = z.T @ (p - y) + penalty * w
+        hess = (z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-8)
+        move, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-6 and loss(w - size * move) > now:
+            size /= 2
+        w = w - size * move
+        before, now = now, loss(w)
+        if before - now < 1e-9 * max(1.0, abs(now)):
+            break
+    return w
 
 
 def fit(rows: list[tuple[str, int]]) -> Grammar:
     """A grammar from labelled texts; the built-in one if they hold fewer than ten of either label."""
     rows = [((t or "").lower(), int(y)) for t, y in rows]
-    built = [(t, False, 3.0) for t in INSULTS] + [(t, True, 1.0) for t in THREATS]
     toxic = sum(y for _, y in rows)
+    built = [(t, t in THREATS) for t in (*INSULTS, *THREATS)]
     if toxic < 10 or len(rows) - toxic < 10:
-        return Grammar(tuple(built), BUILT_IN[0], tuple(BUILT_IN[1]))
+        return Grammar(tuple((t, whole, 3.0) for t, whole in built), BUILT_IN[0], tuple(BUILT_IN[1]))
+    # A built-in word that no clean text has is as heavy as what was learned; others are light.
+    clean = {w for t, y in rows if not y for w in WORD.findall(t)}
+    common = {b for b, _ in built if any(w.startswith(b) for w in clean)}
 
     def with_seeds(entries):
-        known = {t for t, _, _ in entries}
-        return tuple(entries) + tuple(b for b in built if b[0] not in known)
+        heavy = sorted(w for *_, w in entries)[len(entries) * 3 // 4] if entries else 3.0
+        return tuple(entries) + tuple((t, whole, 1.0 if t in common else heavy) for t, whole in built if not any(t.startswith(e) for e, w, _ in entries if not w or e == t))
 
     halves = [sorted(rows, key=lambda r: hash_of(r[0]))[k::2] for k in (0, 1)]
     xs, ys = [], []

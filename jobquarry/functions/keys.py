@@ -50,7 +50,7 @@ def python_float(x: Column) -> Column:
     all_digits = F.regexp_replace(mantissa, "[-.]", "")
     plain_large = F.concat(sign, F.substr(all_digits, F.lit(1), e + 1), F.lit("."), F.substr(F.rpad(all_digits, 40, "0"), e + 2, F.greatest(F.length(all_digits) - e - 1, F.lit(1))))
     plain_small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -e - 1), F.regexp_replace(all_digits, "0$", ""))
-    science = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
+    science = F.concat(F.regexp_replace(mantissa, r"\.0$", ""), F.when(e < 0, "e-").otherwise("e+"), F.when(F.abs(e) < 10, F.concat(F.lit("0"), F.abs(e).cast("string"))).otherwise(F.abs(e).cast("string")))
     made = F.when(~F.contains(text, F.lit("E")), text).when(e.between(0, 15), plain_large).when(e.between(-4, -1), plain_small).otherwise(science)
     return F.coalesce(digits, made, F.lit("None"))
 

@@ -11,8 +11,12 @@ LEVELS = ("intern", "entry", "junior", "mid", "senior", "staff", "principal", "l
 DEGREES = ("highschool", "associate", "bachelor", "master", "phd_md")
 
 
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType()}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """A struct from "name type" pairs; unlike Spark's own parser this needs no session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split() for x in spec.split(","))])
 
 
 LOCATION = _struct("city string, region string, country string, raw string, is_remote boolean")

@@ -14,17 +14,17 @@ DEGREES = ("highschool", "associate", "bachelor", "master", "phd_md")
 _TYPES = {"string": T.StringType(), "double": T.DoubleType(), "int": T.IntegerType(), "long": T.LongType(), "boolean": T.BooleanType()}
 
 
-def _struct(spec: str) -> T.StructType:
+def struct_of(spec: str) -> T.StructType:
     """A struct from "name type" pairs; unlike Spark's own parser this needs no session."""
     return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (x.split() for x in spec.split(","))])
 
 
-LOCATION = _struct("city string, region string, country string, raw string, is_remote boolean")
-SALARY = _struct("min_amount double, max_amount double, currency string, interval string")
-PROVENANCE = _struct("source string, source_job_id string, apply_url string, fetched_at string")
+LOCATION = struct_of("city string, region string, country string, raw string, is_remote boolean")
+SALARY = struct_of("min_amount double, max_amount double, currency string, interval string")
+PROVENANCE = struct_of("source string, source_job_id string, apply_url string, fetched_at string")
 
 POSTING = (
-    _struct("ord long, source string, source_job_id string, company string, company_domain string, title string, description_text string, description_html string")
+    struct_of("ord long, source string, source_job_id string, company string, company_domain string, title string, description_text string, description_html string")
     .add("locations", T.ArrayType(LOCATION))
     .add("remote", "string")
     .add("employment_type", "string")
@@ -47,7 +47,7 @@ POSTING = (
 )
 
 #: The stored table, in column order. Dates are ISO text in UTC and compare as text.
-JOBS = _struct(
+JOBS = struct_of(
     "id string, content_hash string, enrich_hash string, company_key string, source string, company string, company_domain string, title string, department string,"
     " role_family string, location string, city string, country string, remote string, level string, employment_type string, sector string, salary_min double,"
     " salary_max double, salary_currency string, salary_interval string, salary_annual double, years_min int, years_max int, degree_min string, degree_required boolean,"

@@ -236,7 +236,7 @@ def similar_bits(bits: int, similarity: float, slack: float) -> int:
     return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def near_duplicates(ws: Workspace, rows: DataFrame, similarity: float = 0.8, slack: float = 0.5) -> DataFrame:
+def near_duplicates(ws: Workspace, rows: DataFrame, similarity: float = 0.8, slack: float = 1.0) -> DataFrame:
     """Groups of the written fingerprints ``rows`` (see ``fingerprints``, with ``distinct``) whose shingle sets
     have about ``similarity`` or more: ``fp``, ``fp2``, ``size``, ``node`` and ``group``, for each different
     (fp, fp2, size), where ``group`` is the same for all of a group.

@@ -18,8 +18,10 @@ ignored; repeated label rows count once each; without labels the built-in list a
 scored like any other; extra columns are dropped; an empty table gives an empty result.
 """
 
+import bisect
 import math
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -153,23 +155,31 @@ def learn_lexicon(rows: list[tuple[str, int]]) -> list[tuple[str, bool, float]]:
             if len(word) >= k:
                 yield word[:k], False
 
-    hits, contexts = defaultdict(int), defaultdict(set)
+    # Contexts are bits of a hash of the word before, so a feature costs one number.
+    hits, contexts = defaultdict(int), defaultdict(int)
     for text, y in rows:
         if y:
-            seen, before = set(), ""
+            seen, before = set(), 0
             for word in WORD.findall(text):
                 for f in names(word):
                     seen.add(f)
-                    if len(contexts[f]) < 8:
-                        contexts[f].add(before)
-                before = word
+                    contexts[f] |= before
+                before = 1 << (zlib.crc32(word.encode()) & 63)
             for f in seen:
                 hits[f] += 1
-    candidates = {f for f, n in hits.items() if n >= 4 and len(contexts[f]) >= 4}
-    misses = defaultdict(int)
+    candidates = {f for f, n in hits.items() if n >= 4 and contexts[f].bit_count() >= 4}
+    hits = {f: hits[f] for f in candidates}
+    del contexts
+    misses, known = defaultdict(int), {}
     for text, y in rows:
         if not y:
-            for f in {f for word in set(WORD.findall(text)) for f in names(word)} & candidates:
+            seen = set()
+            for word in set(WORD.findall(text)):
+                own = known.get(word)
+                if own is None:
+                    own = known[word] = tuple(f for f in names(word) if f in candidates)
+                seen.update(own)
+            for f in seen:
                 misses[f] += 1
     limit = math.log(0.5 / max(1, len(candidates)))
     kept = []
@@ -235,8 +245,8 @@ def fit(rows: list[tuple[str, int]]) -> Grammar:
     if toxic < 10 or len(rows) - toxic < 10:
         return Grammar(tuple((t, whole, 3.0) for t, whole in built), BUILT_IN[0], tuple(BUILT_IN[1]))
     # A built-in word that no clean text has is as heavy as what was learned; others are light.
-    clean = {w for t, y in rows if not y for w in WORD.findall(t)}
-    common = {b for b, _ in built if any(w.startswith(b) for w in clean)}
+    clean = sorted({w for t, y in rows if not y for w in WORD.findall(t)})
+    common = {b for b, _ in built if (at := bisect.bisect_left(clean, b)) < len(clean) and clean[at].startswith(b)}
 
     def with_seeds(entries):
         heavy = sorted(w for *_, w in entries)[len(entries) * 3 // 4] if entries else 3.0

@@ -27,3 +27,14 @@ def prose(seed, n):
     r = random.Random(seed)
     w = ["".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randrange(3, 9))) for _ in range(n)]
     return ". ".join(" ".join(w[k : k + 9]).capitalize() for k in range(0, n, 9)) + "."
+
+
+def nodes(df):
+    """Names of the nodes of a plan."""
+    todo, out = [df._jdf.queryExecution().sparkPlan()], []
+    while todo:
+        p = todo.pop()
+        out.append(p.nodeName())
+        kids = p.children()
+        todo += [kids.apply(k) for k in range(kids.size())]
+    return " ".join(out)

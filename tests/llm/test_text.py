@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from jobquarry.llm import chat_format, decontam, html_extract, mixing, pii, quality, queries, simhash, toxicity
 
-from .helpers import documents, prose, words
+from .helpers import documents, nodes, prose, words
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body class="has-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><!-- note --><div class="cookie-notice">We use cookies. Accept all.</div>
@@ -109,7 +109,7 @@ def test_chat_is_native_and_bears_an_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     done = chat_format.format_turns(chat_format.turns_from_table(df))
     assert done.collect() == []
-    assert not re.search("Python|Pandas|Arrow", done._jdf.queryExecution().executedPlan().toString())
+    assert not re.search("Python|Pandas|Arrow", nodes(done))
 
 
 def toxic_rows(n):
@@ -192,7 +192,7 @@ def test_mixing_targets_and_shares(spark):
     assert times == sorted(times)
     assert mixing.mix_sources(documents(spark, [])).collect() == []
     assert [r.taken for r in mixing.mix_sources(documents(spark, [(1, None, "a"), (2, "", None)])).collect()] == [0, 0]
-    assert not re.search("Python|Pandas|Arrow", mixing.mix_sources(docs)._jdf.queryExecution().executedPlan().toString())
+    assert not re.search("Python|Pandas|Arrow", nodes(mixing.mix_sources(docs)))
 
 
 def test_decontamination_against_brute_force(spark):
@@ -287,7 +287,7 @@ def test_pii_base_spans_against_python(spark):
     whole = F.concat(*[F.col(f"pii_base.{k}") for k in pii.BASE])
     for r in found.select("doc_id", "text", pii.as_text(whole).alias("got")).collect():
         assert r.got == ",".join(base(r.text or "")), r.doc_id
-    assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString())
+    assert not re.search("Python|Pandas|Arrow", nodes(found))
     assert pii.find_spans(documents(spark, [])).collect() == []
 
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jobquarry.functions import keys
+from jobquarry.functions import keys, stem
 from jobquarry.schemas import DEGREES
 
 # Names of one city, and other names of countries.
@@ -163,21 +163,23 @@ def _near(tokens: Column, terms: list[str]) -> Column:
     return (F.size(F.array_intersect(tokens, need)) == F.size(need)) & F.exists(starts, window)
 
 
-def token_columns() -> dict[str, Column]:
-    """Token arrays of the searched columns; Spark evaluates them once for each row that passes the cheap filters."""
-    return {c: keys.tokens(F.col(c)) for c in FTS_COLUMNS}
-
-
-def matching(jobs: DataFrame, q: SearchQuery, today: str) -> DataFrame:
-    """All rows that match, in no order."""
+def matching(jobs: DataFrame, q: SearchQuery, today: str, stemmed: bool = False) -> DataFrame:
+    """All rows that match, in no order. Keywords are looked for in token arrays of the rows that pass the cheap filters;
+    ``stemmed``: words match by their stems, whatever their accents."""
     found = jobs.where(q.where(today))
-    match = keyword_predicate(query_terms(q.keywords), token_columns())
-    return found if match is None else found.where(match)
+    terms = query_terms(q.keywords)
+    if not terms:
+        return found
+    if not stemmed:
+        return found.where(keyword_predicate(terms, {c: keys.tokens(F.col(c)) for c in FTS_COLUMNS}))
+    held = found.withColumns({f"__{c}": stem.stems(F.col(c)) for c in FTS_COLUMNS})
+    match = keyword_predicate([stem.stem(t) for t in terms], {c: F.col(f"__{c}") for c in FTS_COLUMNS})
+    return held.where(match).select(*jobs.columns)
 
 
-def search(jobs: DataFrame, q: SearchQuery, today: str) -> DataFrame:
+def search(jobs: DataFrame, q: SearchQuery, today: str, stemmed: bool = False) -> DataFrame:
     """Rows that match, newest first, undated last, ids breaking ties; 1000 if there is no limit or it is 0."""
-    return matching(jobs, q, today).orderBy(F.col("posted_at").desc_nulls_last(), "id").limit(q.limit or 1000)
+    return matching(jobs, q, today, stemmed).orderBy(F.col("posted_at").desc_nulls_last(), "id").limit(q.limit or 1000)
 
 
 def whats_new(jobs: DataFrame, q: SearchQuery, since: str, today: str, include_changed: bool = False) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,15 @@ CUE = (
 )
 
 
+# Letters with marks and the plain ones beneath, by rule: all up to U+024F that decompose to one letter.
+_MARKED = {chr(c): d[0] for c in range(0xC0, 0x250) if len(d := "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x))) == 1 and d.isascii()}
+
+
+def fold(text: Column) -> Column:
+    """Without accents: marked letters become plain, loose marks go."""
+    return F.regexp_replace(F.translate(text, "".join(_MARKED), "".join(_MARKED.values())), r"\p{M}", "")
+
+
 def collapse(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, SPACE, " "), "^ | $", "")
 

@@ -34,6 +34,18 @@ def query(sql: str | None = None):
     return add
 
 
+def _literal(v) -> str:
+    if v is None:
+        return "NULL"
+    return str(v) if isinstance(v, bool | int | float) else "'" + str(v).replace("'", "''") + "'"
+
+
+def _values(columns: dict[str, str], rows: list[tuple]) -> str:
+    """SQL of literal rows with typed columns."""
+    listed = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
+    return "SELECT " + ", ".join(f"{c}::{t} AS {c}" for c, t in columns.items()) + f" FROM (VALUES {listed}) AS v({', '.join(columns)})"
+
+
 # ---- search ---------------------------------------------------------------------------------------------------------
 
 SHOWN = ("id", "title", "level", "sector", "salary_min", "salary_max", "posted_at")
@@ -112,6 +124,11 @@ def _register_searches() -> None:
 _register_searches()
 
 
+@query(SELECT + "regexp_matches(lower(concat_ws(' ', title, company, department, snippet)), '(^|[^a-z0-9])engineer(s|ing)?([^a-z0-9]|$)') AND regexp_matches(lower(concat_ws(' ', title, company, department, snippet)), '(^|[^a-z0-9])data([^a-z0-9]|$)')")
+def search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching(jobs(spark, sf_dir), SearchQuery(keywords="engineers data"), TODAY, stemmed=True).select(*SHOWN)
+
+
 @query("SELECT id, first_seen, posted_at FROM JOBS WHERE status = 'active' AND employment_type IN ('contract', 'unknown') AND first_seen >= '2001-06-01' ORDER BY first_seen DESC, posted_at DESC NULLS LAST, id LIMIT 100")
 def search_whats_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whats_new(jobs(spark, sf_dir), SearchQuery(employment_type="contract"), "2001-06-01", TODAY).select("id", "first_seen", "posted_at")
@@ -632,6 +649,11 @@ TITLE_LEVELS = dict(
 )
 
 
+@query(_values({"company": "VARCHAR", "sector": "VARCHAR"}, fixtures.COMPANIES))
+def text_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(c,) for c, _ in fixtures.COMPANIES], "company string").withColumn("sector", extract.sector_from_name(F.col("company")))
+
+
 @query("SELECT id, CASE title " + " ".join(f"WHEN '{t}' THEN '{v}'" for t, v in TITLE_LEVELS.items()) + " END AS level FROM JOBS")
 def text_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).select("id", extract.level_from_title(F.col("title")).alias("level"))
@@ -656,18 +678,6 @@ def fresh_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- literal fixtures -----------------------------------------------------------------------------------------------
 
 
-def _literal(v) -> str:
-    if v is None:
-        return "NULL"
-    return str(v) if isinstance(v, bool | int | float) else "'" + str(v).replace("'", "''") + "'"
-
-
-def _values(columns: dict[str, str], rows: list[tuple]) -> str:
-    """SQL of literal rows with typed columns."""
-    listed = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
-    return "SELECT " + ", ".join(f"{c}::{t} AS {c}" for c, t in columns.items()) + f" FROM (VALUES {listed}) AS v({', '.join(columns)})"
-
-
 def _texts(spark: SparkSession, rows) -> DataFrame:
     return spark.createDataFrame([(t,) for t in rows], "text string")
 

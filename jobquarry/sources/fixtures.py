@@ -56,3 +56,8 @@ LOCATIONS = {
     "DUSSELDORF": ("DUSSELDORF", None, "Germany"), "3 Locations": (None, None, None), "Las Vegas-Las Vegas": ("Las Vegas", None, "United States"), "Tel Aviv-Yafo": ("Tel Aviv-Yafo", None, None),
     "Winston-Salem, NC": ("Winston-Salem", "NC", "United States"), "Warsaw, POL": ("Warsaw", None, "Poland"), "Any City": (None, None, None), "Singapore": ("Singapore", None, "Singapore"), "": (None, None, None),
 }
+
+COMPANIES = [
+    ("First National Bank", "Banking/Finance"), ("Educação Global", "Education"), ("Sunrise Real Estate", "RealEstate/PropTech"), ("Embankment Ltd", None), ("Acme Renewable Energy", "Energy/Climate"),
+    ("Blue Hotel Group", "Travel/Hospitality"), ("Acme", None),
+]

@@ -134,3 +134,9 @@ def test_amounts(spark):
     assert dict(zip(given, column(spark, list(given), extract.amount), strict=True)) == given
     assert column(spark, [20.0, 5000.0, 90000.0], extract.infer_interval, "double") == ["hour", "year", "year"]
     assert column(spark, [20.0, 5.0], lambda c: extract.in_band(c, F.lit("hour")), "double") == [True, False]
+
+
+def test_sector_words(spark):
+    names = {"First National Bank": "Banking/Finance", "Educação Global": "Education", "Sunrise Real Estate": "RealEstate/PropTech", "Embankment Ltd": None, "Acme Renewable Energy": "Energy/Climate", "": None}
+    assert dict(zip(names, column(spark, list(names), extract.sector_from_name), strict=True)) == names
+    assert column(spark, ["Zażółć Ñandú e\u0301"], text.fold) == ["Zazołc Nandu e"]

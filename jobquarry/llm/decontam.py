@@ -2,13 +2,14 @@
 
 The inverted index holds the test items, which are few next to the corpus; it is built and broadcast in parts of
 ``PART_ITEMS`` items, so what is broadcast has a fixed bound and more items mean more passes. A posting's impact is its
-BM25 contribution (without query frequency), divided by its item's threshold, so one bound serves all items: a passage
-retrieves every item whose impacts add up to 1. The threshold is the item's own score less the heaviest impacts that
-an overlap of ``similarity`` may miss, so nothing that could pass verification is lost.
-
-Every training document is read whole, in passages of words that overlap by twice the length of the longest item, so
-each item's occurrence lies within one passage. The pruning is that of block-max WAND, in the same order: the sum of
-the largest impacts of a passage's terms must reach 1 (the pivot test); then the sum of their block maxima must
+BM25 contribution (without query frequency), divided by its item's threshold, so one bound serves all items: a document
+retrieves every item whose impacts add up to 1. The threshold is the item's own score less the heaviest impacts of as
+many terms as shingles may be missing at an overlap of ``similarity``: while one shingle is held, each missing term has
+a missing shingle of its own, so nothing that could pass verification is lost.
+
+Every training document is searched by the distinct terms of its whole text, as verification is on the whole text:
+the parts of an item may stand any distance apart. The pruning is that of block-max WAND, in the same order: the sum of
+the largest impacts of a document's terms must reach 1 (the pivot test); then the sum of their block maxima must
 reach 1 in some block of items, which is tested for all blocks in one array operation instead of cursor by cursor;
 only the postings in blocks that pass are added up.
 
@@ -74,7 +75,6 @@ class Index:
         n, mean = len(rows), sum(len(w) for *_, w in rows) / max(1, len(rows))
         df = Counter(t for *_, w in rows for t in set(w))
         self.ids, self.parts = [i for i, _, _ in rows], [parts_of(t) for _, t, _ in rows]
-        self.longest = max((len(w) for *_, w in rows), default=1)
         self.terms = {t: k for k, t in enumerate(sorted(df))}
         self.items: list[list[int]] = [[] for _ in self.terms]
         self.impacts: list[list[float]] = [[] for _ in self.terms]
@@ -83,10 +83,10 @@ class Index:
             tf = Counter(w)
             norm = K1 * (1 - B + B * len(w) / mean)
             own = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + norm) for t, c in tf.items()}
-            # An overlap of ``similarity`` leaves that share of shingles, hence of words, at least.
-            missed = math.ceil((1 - similarity) * max(1, len(w) - SHINGLE + 1)) if len(w) >= SHINGLE else 0
-            heavy = sorted((own[t] for t in w), reverse=True)
-            threshold = max(sum(own.values()) - sum(heavy[:missed]), 0.25 * sum(own.values()))
+            # At an overlap of ``similarity`` so many shingles are missing at most, and terms not more than shingles.
+            missed = int((1 - similarity) * len(self.parts[at][0]) + 1e-9)
+            light = sorted(own.values())
+            threshold = sum(light[: max(1, len(light) - missed)])
             for t, x in own.items():
                 k = self.terms[t]
                 self.items[k].append(at)
@@ -108,26 +108,15 @@ class Index:
         scores = np.bincount(items[passed], impacts[passed], minlength=len(self.ids))
         return np.flatnonzero(scores >= ENOUGH)
 
-    def retrieve(self, words: list[str]) -> set[int]:
-        """Items that some passage of a document retrieves. An overlap may be longer than its item by what was put
-        in, so passages share twice the longest item's length."""
-        known, found = self.terms.get, set()
-        terms = np.fromiter((known(w, -1) for w in words), np.int64, len(words))
-        shared, size = 2 * self.longest, max(256, 4 * self.longest)
-        for s in range(0, max(1, len(words) - shared), size - shared):
-            own = terms[s : s + size]
-            found.update(self.search(np.unique(own[own >= 0])).tolist())
-        return found
-
-    def overlaps(self, words: list[str], found: set[int], similarity: float) -> list[tuple[int, float]]:
-        """(item, share of its shingles) of the verified items."""
-        if not found:
-            return []
-        held, single = shingles(words), set(words)
-        for n in {len(next(iter(self.parts[i][0]))) for i in found} - {SHINGLE}:
-            held = held | {tuple(words[k : k + n]) for k in range(len(words) - n + 1)}
+    def overlaps(self, words: list[str], terms: np.ndarray, found: list[int], similarity: float) -> list[tuple[int, float]]:
+        """(item, share of its shingles) of the verified items; ``terms`` are the words' numbers, or -1."""
+        single, known = set(words), np.concatenate([[0], np.cumsum(terms >= 0)])
+        held = set()
+        for n in {len(next(iter(self.parts[i][0]))) for i in found}:
+            # Only runs of the index's terms can be shingles of items.
+            held |= {tuple(words[k : k + n]) for k in np.flatnonzero(known[n:] - known[:-n] == n).tolist()}
         out = []
-        for i in sorted(found):
+        for i in found:
             whole, *rest = self.parts[i]
             share = len(whole & held) / len(whole)
             if share >= similarity and all(len(p & single) >= similarity * len(p) for p in rest):
@@ -135,8 +124,10 @@ class Index:
         return out
 
     def leaks(self, text: str | None, similarity: float) -> list[tuple[int, float]]:
-        words = words_of(text)
-        return self.overlaps(words, self.retrieve(words), similarity)
+        words, known = words_of(text), self.terms.get
+        terms = np.fromiter((known(w, -1) for w in words), np.int64, len(words))
+        found = self.search(np.unique(terms[terms >= 0])).tolist()
+        return self.overlaps(words, terms, found, similarity) if found else []
 
 
 def index_parts(benchmark: DataFrame, item_col: str, text_col: str, similarity: float, part_items: int = PART_ITEMS):

@@ -224,6 +224,22 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.drop_contaminated(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_of_items_in_distant_parts(spark):
+    items = [(k, prose(1000 + k, 54)) for k in range(40)]
+    split = [(k, g, t.split()[:27], t.split()[27:]) for k, t in items for g in (100, 300, 3000)]
+    rows = [(10_000 * k + g, " ".join([*a, prose(7 * k + g, g), *b]), "s") for k, g, a, b in split]
+    docs, bench = documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()} == {(10_000 * k + g, k) for k, g, *_ in split}
+    assert decontam.drop_contaminated(docs, bench).count() == 0
+
+
+def test_decontamination_without_the_word_that_has_most_of_the_score():
+    common = "of the in a to is it as"
+    index = decontam.Index([(k, f"{common} rare{k}") for k in range(40)], 0.8)
+    assert index.leaks(f"{common} {prose(1, 400)}", 0.8) == [(k, 0.8) for k in range(40)]
+    assert index.leaks(f"{common.rsplit(' ', 1)[0]} {prose(1, 400)}", 0.8) == []
+
+
 def test_decontamination_in_parts(spark):
     items = spark.createDataFrame([(k, prose(1000 + k, 20)) for k in range(25)], "item_id long, text string")
     parts = list(decontam.index_parts(items, "item_id", "text", 0.8, part_items=10))

@@ -17,7 +17,9 @@ For wide radii (near copies by similarity rather than by a few bits) no pivot am
 unrelated ones all lie near half the bits. ``near_duplicates`` then uses the empty document as its vantage
 point: a document's distance from it is its number of shingles, and two sets of similarity ``s`` differ in size
 by the factor ``s`` at most, so shards are ranges of sizes, and documents near a lower boundary are also sent
-up. That path compares all rows of a size range in blocks, so its work grows with the square of the range.
+up. That path compares all rows of a size range in blocks, so its work grows with the square of the range. The
+fingerprints give candidates only: components of candidates are gathered with their shingle sets, and two documents
+link if the exact similarity of their sets reaches ``s``.
 
 Rows in other states: a null text counts as empty; a document without words has fingerprint zero and links
 like any other; a null id takes part in links but never becomes a component's id unless all ids of the
@@ -44,6 +46,11 @@ SHARD_ROWS = 40_000
 BLOCK_ROWS = 60_000
 #: In memory, sets up to this size are compared directly.
 DIRECT = 512
+#: Shingles of a block of sets that are compared exactly; blocks into which smaller groups are cut for more tasks.
+BLOCK_SHINGLES = 2_000_000
+BLOCKS = 8
+#: Up to this size of sets the odds of bits are counted out, beyond it they are those of large sets.
+COUNTED = 64
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -71,23 +78,25 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(rows: DataFrame, shingle_words: int, distinct: bool = False) -> DataFrame:
-    """``rows`` (``id``, ``key``, ``text``) as ``id``, ``key``, ``fp``, ``fp2`` (64 more bits, of remixed hashes) and
-    ``size`` (number of shingles). With ``distinct`` each different shingle counts once. Texts are read whole."""
+    """``rows`` (``id``, ``key``, ``text``) as ``id``, ``key``, ``fp``, ``fp2`` (64 more bits, of remixed hashes), ``size``
+    (number of shingles) and ``node`` (a hash of all shingles). With ``distinct`` each different shingle counts once; else
+    ``fp2`` is ``fp`` and ``node`` 0. Texts are read whole."""
 
     def each(batches):
         for batch in batches:
-            fp, fp2, size = [], [], []
+            fp, fp2, size, node = [], [], [], []
             for text in batch.column("text"):
                 hashes = shingle_hashes((text.as_py() or "").encode(), shingle_words)
                 if distinct:
                     hashes = np.unique(hashes)
                     fp2.append(majority(remix(hashes)))
+                node.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42) if distinct else 0)
                 fp.append(majority(hashes))
                 size.append(len(hashes))
-            columns = [batch.column("id"), batch.column("key"), as_long(fp), as_long(fp2 or fp), pa.array(size, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fp", "fp2", "size"])
+            columns = [batch.column("id"), batch.column("key"), as_long(fp), as_long(fp2 or fp), pa.array(size, pa.int64()), as_long(node)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "fp", "fp2", "size", "node"])
 
-    return rows.select("id", "key", "text").mapInArrow(each, "id long, key long, fp long, fp2 long, size long")
+    return rows.select("id", "key", "text").mapInArrow(each, "id long, key long, fp long, fp2 long, size long, node long")
 
 
 def as_long(values: list[int]) -> pa.Array:
@@ -236,40 +245,124 @@ def similar_bits(bits: int, similarity: float, slack: float) -> int:
     return round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def near_duplicates(ws: Workspace, rows: DataFrame, similarity: float = 0.8, slack: float = 1.0) -> DataFrame:
-    """Groups of the written fingerprints ``rows`` (see ``fingerprints``, with ``distinct``) whose shingle sets
-    have about ``similarity`` or more: ``fp``, ``fp2``, ``size``, ``node`` and ``group``, for each different
-    (fp, fp2, size), where ``group`` is the same for all of a group.
-
-    Two link if their sizes differ by the factor ``similarity`` at most and their 128 bits in no more than
-    ``similar_bits`` allows; unrelated sets differ in 64 bits on average, with a deviation of 5.7.
-    """
-    distinct = ws.write(rows.select("fp", "fp2", "size").distinct().withColumn("node", F.xxhash64("fp", "fp2", "size")))
-    most = similar_bits(128, similarity, slack)
+def bit_limits(bits: int, similarity: float, slack: float) -> np.ndarray:
+    """Like ``similar_bits`` for small sets, by both sizes (the smaller up to ``COUNTED``): halves of even sets are
+    ties, which count as 0. -1 where only equal sets are that similar."""
+    half = [np.array([math.comb(n, i) / 2.0**n for i in range(n + 1)]) for n in range(2 * COUNTED)]
+    out = np.full((COUNTED + 1, int(COUNTED / similarity + 1e-9) + 1), -1)
+    for a in range(1, COUNTED + 1):
+        for b in range(a, int(a / similarity + 1e-9) + 1):
+            both = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            if both > a or both == b:
+                continue
+            i = np.arange(both + 1)
+            # For i ones among the common hashes: the odds that the rest lifts either set over its half.
+            one, two = (np.array([half[n - both][max(0, n // 2 + 1 - k) :].sum() for k in i]) for n in (a, b))
+            p = float((half[both] * (one * (1 - two) + two * (1 - one))).sum())
+            out[a, b] = round(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+    return out
+
+
+def candidates(ws: Workspace, distinct: DataFrame, similarity: float, slack: float) -> DataFrame:
+    """(``id``, ``root``): components of the written sets ``distinct`` (``node``, ``fp``, ``fp2``, ``size``) over pairs whose
+    sizes differ by the factor ``similarity`` at most and whose 128 bits differ by ``slack`` deviations more than expected at most."""
+    most, limits = similar_bits(128, similarity, slack), bit_limits(128, similarity, slack)
+    widest = max(most, int(limits.max()))
     # Ranges of sizes as wide as the tolerance: a set meets its own range and, coming from below, the next one.
     level = F.floor(F.log(F.col("size") + F.lit(1.0)) / F.lit(math.log(1 / similarity))).cast("long")
-    placed = distinct.select("*", level.alias("own"), F.explode(F.array(level, level + 1)).alias("shard"))
+    placed = distinct.select("node", "fp", "fp2", "size", level.alias("own"), F.explode(F.array(level, level + 1)).alias("shard"))
 
     def near(table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "ascending"), ("node", "ascending")])
         node, size, own, shard, blk, bi, bj = (table.column(c).to_numpy() for c in ("node", "size", "own", "shard", "blk", "bi", "bj"))
         a, b = (table.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2"))
         labels, home = Labels(len(node)), np.flatnonzero(own == shard)
+        upto = widest if len(size) and size[0] <= COUNTED else most
         for s in range(0, len(node), 128):
             i = np.arange(s, min(s + 128, len(node)))
-            for t in range(np.searchsorted(home, s), np.searchsorted(size[home], size[i[-1]] / similarity, "right"), 4096):
+            for t in range(np.searchsorted(home, s), np.searchsorted(size[home], size[i[-1]] / similarity + 1e-9, "right"), 4096):
                 j = home[t : t + 4096]
-                x, y = np.nonzero(np.bitwise_count(a[i][:, None] ^ a[j][None, :]) <= most)
+                x, y = np.nonzero(np.bitwise_count(a[i][:, None] ^ a[j][None, :]) + np.bitwise_count(b[i][:, None] ^ b[j][None, :]) <= upto)
                 x, y = i[x], j[y]
-                ok = np.bitwise_count(a[x] ^ a[y]).astype(np.int64) + np.bitwise_count(b[x] ^ b[y]) <= most
-                ok &= (np.minimum(size[x], size[y]) >= similarity * np.maximum(size[x], size[y])) & ((bi[0] == bj[0]) | (blk[x] != blk[y]))
+                small, large = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
+                ok = (small >= similarity * large - 1e-9) & ((bi[0] == bj[0]) | (blk[x] != blk[y])) & (x != y)
+                x, y, small, large = x[ok], y[ok], small[ok], large[ok]
+                counted = limits[np.minimum(small, COUNTED), np.minimum(large, limits.shape[1] - 1)]
+                ok = np.bitwise_count(a[x] ^ a[y]) + np.bitwise_count(b[x] ^ b[y]) <= np.where(small <= COUNTED, counted, most)
                 labels.link(x[ok], y[ok])
         linked = np.flatnonzero(labels.of != np.arange(len(node)))
         return pa.table({"a": node[linked], "b": node[labels.of[linked]]})
 
     edges = block_grid(placed, ["shard"], "node", 20_000).groupBy("shard", "bi", "bj").applyInArrow(near, "a long, b long")
-    known = ws.write(connected_components(ws, edges, "a", "b"))
-    return distinct.join(known, distinct["node"] == known["id"], "left").select("fp", "fp2", "size", "node", F.coalesce("root", "node").alias("group"))
+    return ws.write(connected_components(ws, edges, "a", "b"))
+
+
+def link_sets(sets: np.ndarray, size: np.ndarray, blk: np.ndarray | None, similarity: float, labels: Labels) -> None:
+    """Links all pairs of sets whose exact similarity is ``similarity`` or more. ``sets`` has the sets' hashes one after
+    the other, by ascending ``size``. With ``blk`` only pairs of different blocks count. Pairs that are already linked
+    through others are not compared."""
+    ids = np.unique(sets, return_inverse=True)[1]
+    held, ends = np.zeros(len(ids), bool), np.cumsum(size)
+    for x in range(len(size) - 1):
+        y = np.arange(x + 1, np.searchsorted(size, size[x] / similarity + 1e-9, "right"))
+        y = y[labels.of[y] != labels.of[x]]
+        y = y if blk is None else y[blk[y] != blk[x]]
+        if not len(y):
+            continue
+        own = ids[ends[x] - size[x] : ends[x]]
+        held[own] = True
+        step = max(1, BLOCK_SHINGLES // int(size[y[-1]]))
+        for part in (y[k : k + step] for k in range(0, len(y), step)):
+            found = held[np.concatenate([ids[ends[k] - size[k] : ends[k]] for k in part])]
+            both = np.add.reduceat(found.astype(np.int64), np.cumsum(size[part]) - size[part])
+            part = part[both * (1 + similarity) >= similarity * (size[x] + size[part]) - 1e-9]
+            labels.link(np.full(len(part), x), part)
+        held[own] = False
+
+
+def near_duplicates(ws: Workspace, rows: DataFrame, texts: DataFrame, shingle_words: int, similarity: float = 0.8, slack: float = 3.5) -> DataFrame:
+    """Groups of the written fingerprints ``rows`` (see ``fingerprints``, with ``distinct``) of ``texts`` whose shingle sets
+    have a similarity of ``similarity`` or more: ``node`` and ``group``, for each different set, where ``group`` is the same
+    for all of a group.
+
+    Candidates come from the fingerprints, whose limit is ``slack`` deviations above the distance expected at the
+    similarity; unrelated sets differ in 64 bits on average, with a deviation of 5.7. Each link is verified.
+    """
+    row = F.min(F.struct("key", "fp", "fp2", "size")).alias("row")
+    distinct = ws.write(rows.groupBy("node").agg(row).select("node", "row.*"))
+    known = candidates(ws, distinct, similarity, slack)
+    picked = distinct.join(known, distinct["node"] == known["id"]).select("key", "node", "size", "root")
+    # Cut for memory, and smaller groups for more tasks; only groups of several blocks are listed.
+    weight = F.sum("size") / F.lit(float(BLOCK_SHINGLES))
+    blocks = F.ceil(F.greatest(weight, F.least(20 * weight, F.lit(float(BLOCKS))))).cast("int")
+    cut = picked.groupBy("root").agg(blocks.alias("nb")).where("nb > 1")
+    picked = ws.write(picked.join(cut, "root", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).select("key", "node", "size", "root", "nb"))
+
+    def read(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes((t.as_py() or "").encode(), shingle_words)).view(np.int64) for t in batch.column("text")]
+            columns = [*(batch.column(c) for c in ("node", "size", "root", "nb")), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "size", "root", "nb", "set"])
+
+    sets = texts.select("key", "text").join(picked, "key").dropDuplicates(["key"]).select("node", "size", "root", "nb", "text")
+    sets = sets.mapInArrow(read, "node long, size long, root long, nb int, set array<long>")
+    grid = (
+        sets.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        .select("node", "size", "root", "set", "blk", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"))
+    )
+
+    def verify(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("size", "ascending"), ("node", "ascending")])
+        node, size, blk, bi, bj = (table.column(c).to_numpy() for c in ("node", "size", "blk", "bi", "bj"))
+        labels = Labels(len(node))
+        link_sets(table.column("set").combine_chunks().flatten().to_numpy(), size, None if bi[0] == bj[0] else blk, similarity, labels)
+        linked = np.flatnonzero(labels.of != np.arange(len(node)))
+        return pa.table({"a": node[linked], "b": node[labels.of[linked]]})
+
+    edges = grid.groupBy("root", "bi", "bj").applyInArrow(verify, "a long, b long")
+    groups = ws.write(connected_components(ws, edges, "a", "b"))
+    return distinct.join(groups, distinct["node"] == groups["id"], "left").select("node", F.coalesce(groups["root"], "node").alias("group"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -282,9 +375,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key = F.xxhash64(*hashed)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
     rows = ws.write(fingerprints(texts, shingle_words, distinct=True))
-    groups = near_duplicates(ws, rows, similarity)
+    groups = near_duplicates(ws, rows, texts, shingle_words, similarity)
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key"))
-    best = rows.groupBy("fp", "fp2", "size").agg(first.alias("first")).join(groups, ["fp", "fp2", "size"]).groupBy("group").agg(F.min("first").alias("first"))
+    best = rows.groupBy("node").agg(first.alias("first")).join(groups, "node").groupBy("group").agg(F.min("first").alias("first"))
     winners = ws.write(best.select(F.col("first.key").alias(PREFIX + "key")))
     kept = docs.withColumn(PREFIX + "key", key).join(winners, PREFIX + "key", "left_semi")
     nth = F.row_number().over(Window.partitionBy(PREFIX + "key").orderBy(PREFIX + "key"))

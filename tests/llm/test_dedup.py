@@ -99,6 +99,43 @@ def test_near_copies_leave_one(spark, extra):
     assert simhash.drop_near_duplicates(documents(spark, [])).collect() == []
 
 
+def similarity(a, b):
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_near_copies_have_the_similarity(spark):
+    texts = []
+    for k in range(60):  # similarities of 0.65 to 0.9, one pair or chain of three each
+        w = words(7000 + k, 200)
+        for n in (0, 3, 5)[: 2 + k % 2]:
+            copy = [f"new{n}" if n and (j + k) % (200 // (n + k % 3)) == 9 else x for j, x in enumerate(w)]
+            texts.append(" ".join(copy))
+    for k in range(120):  # 6 to 10 words and one more or another one
+        w = words(9000 + k, 6 + k % 5)
+        texts += [" ".join(w), " ".join([*w, "more"]), " ".join([*w[:-1], "other"])]
+    links = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if abs(a - b) < 3 and similarity(texts[a], texts[b]) >= 0.8]
+    between = [s for a in range(150) for b in range(a + 1, a + 3) if 0.7 <= (s := similarity(texts[a], texts[b])) < 0.9]
+    assert len(between) > 50 and len(links) > 50
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(documents(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    assert kept == set(components(range(len(texts)), links).values())
+
+
+@pytest.mark.parametrize("blocks", [1, 5])
+def test_sets_link_in_blocks_as_by_brute_force(blocks):
+    r = np.random.default_rng(5)
+    sets = sorted((np.unique(np.concatenate([base, r.integers(0, 99, r.integers(0, 6))])) for base in (np.arange(99, 105 + 3 * (k % 9)) for k in range(80))), key=len)
+    size, blk, labels = np.array([len(x) for x in sets]), np.arange(80) % blocks, simhash.Labels(80)
+    for i in range(blocks):
+        for j in range(i, blocks):
+            at = np.flatnonzero((blk == i) | (blk == j))
+            own = simhash.Labels(len(at))
+            simhash.link_sets(np.concatenate([sets[k] for k in at]), size[at], None if i == j else blk[at], 0.8, own)
+            labels.link(at, at[own.of])
+    links = [(a, b) for a in range(80) for b in range(a + 1, 80) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))]
+    assert dict(enumerate(labels.of.tolist())) == components(range(80), links) and len(set(labels.of.tolist())) > 3
+
+
 def kept_words(rows, window):
     """By definition: a word goes if a window over it starts earlier elsewhere."""
     texts = {}

@@ -11,7 +11,8 @@ scripts, styles, reader comments) are set aside. Over the rest, per path:
 
 The content node is the deepest element that holds most of the text of content paths, widened to its
 ``article`` if it stands in one. Its blocks are the result, in page order, short ones as well; only link lists off
-the content paths are left out. Nothing is cut: pages and blocks of any length are read whole.
+the content paths are left out. Blocks of content paths outside it are content too, with the rest of their own articles
+and the headings beside them. Nothing is cut: pages and blocks of any length are read whole.
 
 States: null and empty pages give the empty string and 0; markup errors (unclosed or stray tags and comments) are
 read as browsers do in the common cases; null ids and urls are kept; repeated rows are rows; extra columns are
@@ -64,6 +65,7 @@ SITE = frozenset("header site page top global main".split())
 
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Classes of articles that are comments ("comments-open" speaks of an article that may have some).
 COMMENT = re.compile(r"(?i)(?<![a-z])comments?(?![a-z-]*-?(?:open|closed|enabled|disabled|on|off|count))(?![a-z])")
 PUNCTUATION = re.compile(r"[.,;:!?…、。]")
@@ -254,12 +256,25 @@ def main_blocks(html: str) -> list[str]:
     while up > 0 and page.tag[up] not in ("article", "main"):
         up = page.parent[up]
     node = up if up > 0 else node
+    # Outside the content node: blocks of content paths, all of their articles, headings beside their ancestors.
+    counted, tops, chains = {e for _, e, _ in scored}, {node}, set()
+    for e in counted:
+        if page.path[e] in content:
+            while e > 0:
+                chains.add(e)
+                if page.tag[e] == "article":
+                    tops.add(e)
+                e = page.parent[e]
+    beside = {page.parent[e] for e in chains}
     out = []
     for text, e, _ in blocks:
-        p, up = page.path[e], e
-        while up > node:
+        p, up, inside, heading = page.path[e], e, False, False
+        while up >= 0 and not inside:
+            inside = up in tops
+            heading |= page.tag[up] in HEADINGS and page.parent[up] in beside
             up = page.parent[up]
-        if up == node and (p in content or 2 * sums[p][3] <= sums[p][1]):
+        plain = 2 * sums[p][3] <= sums[p][1]
+        if (inside and (p in content or plain)) or (e in counted and (p in content or (heading and plain))):
             out.append(text)
     return out
 

@@ -50,6 +50,13 @@ def test_html_without_article_finds_the_content_node():
     assert got == ["Head", *(" ".join(prose(k, 40).split()) for k in range(5))]
 
 
+def test_html_text_outside_the_largest_part():
+    long, last = [" ".join(prose(k, 60).split()) for k in range(9)], " ".join(prose(99, 60).split())
+    many = "".join(f"<p>{t}</p>" for t in long)
+    assert html_extract.main_blocks(f"<div><h1>Title</h1><div class=text>{many}</div><div class=part><p>{last}</p></div></div>") == ["Title", *long, last]
+    assert html_extract.main_blocks(f"<article><h2>One</h2>{many}</article><article><h2>Two</h2><p>{last}</p><p>Ok.</p></article>") == ["One", *long, "Two", last, "Ok."]
+
+
 def test_html_rows(spark):
     rows = [(1, "u", PAGE), (2, None, None), (None, "v", ""), (4, "w", "<p>" + "word " * 200_000), (4, "w", "<p>x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"id": F.lit(1), "text": F.lit("t")})

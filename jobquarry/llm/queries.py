@@ -81,20 +81,23 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "virtual_finish")
 
 
+#: From the contract: every serving of every document in one order, cut where the running total passes the budget.
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w
-  FROM d GROUP BY source),
-l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size) OVER p, 0) * 2.0::DOUBLE) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level FROM s
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS nth FROM d GROUP BY source),
+v AS (SELECT *, CASE (nth - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM s),
+l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(source_size) OVER p, 0) * 2.0::DOUBLE) / (sum(w) OVER () - coalesce(sum(w) OVER p, 0)) AS level FROM v
   WINDOW p AS (ORDER BY source_size * 2.0::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-g AS (SELECT source, source_size, CASE WHEN level * w >= source_size * 2.0::DOUBLE OR max(level) FILTER (level * w < source_size * 2.0::DOUBLE) OVER () IS NULL THEN source_size * 2.0::DOUBLE
+g AS (SELECT source, nth, source_size, CASE WHEN level * w >= source_size * 2.0::DOUBLE OR max(level) FILTER (level * w < source_size * 2.0::DOUBLE) OVER () IS NULL THEN source_size * 2.0::DOUBLE
   ELSE max(level) FILTER (level * w < source_size * 2.0::DOUBLE) OVER () * w END AS target FROM l),
-o AS (SELECT d.doc_id, d.size, g.source_size, g.target, sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix' || chr(31) || coalesce(d.doc_id::VARCHAR, '')), d.size, md5(d.t)
-  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN cum - size / 2.0::DOUBLE <= target THEN size ELSE 0 END + CASE WHEN cum + source_size - size / 2.0::DOUBLE <= target THEN size ELSE 0 END)::BIGINT AS taken,
-  CASE WHEN target > 0 THEN cum / target END AS virtual_finish
-FROM o
+o AS (SELECT row_number() OVER () AS row, d.doc_id, d.size, g.nth, g.source_size, g.target,
+  (sum(d.size) OVER (PARTITION BY d.source ORDER BY md5('mix' || chr(31) || coalesce(d.doc_id::VARCHAR, '')), d.size, md5(d.t) ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS done
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+e AS (SELECT row, size, sum(size) OVER (ORDER BY (done + source_size * pass) / target, nth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total
+  FROM o, (VALUES (0), (1)) AS passes (pass) WHERE size > 0 AND target > 0),
+k AS (SELECT row, sum(size)::BIGINT AS taken FROM e WHERE total <= (SELECT sum(size) FROM o) * 1.5::DOUBLE GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, CASE WHEN target > 0 THEN done / target END AS virtual_finish
+FROM o LEFT JOIN k ON o.row = k.row
 """
 
 

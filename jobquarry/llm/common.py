@@ -1,10 +1,11 @@
-"""Shared pieces: written tables that cut lineage, block grids for large groups, connected components."""
+"""Shared pieces: written tables that cut lineage, block grids for large groups, labels of linked rows, connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +93,24 @@ def block_grid(rows: DataFrame, shard: list[str], uid: str, block_rows: int) ->
     )
 
 
+class Labels:
+    """Labels of positions, contracted by arrays of linked pairs; a label is a position with the same label."""
+
+    def __init__(self, n: int):
+        self.of = np.arange(n)
+
+    def link(self, i: np.ndarray, j: np.ndarray) -> None:
+        while True:
+            a, b = self.of[i], self.of[j]
+            differ = a != b
+            if not differ.any():
+                return
+            i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+            np.minimum.at(self.of, np.maximum(a, b), np.minimum(a, b))
+            while not np.array_equal(jumped := self.of[self.of], self.of):
+                self.of = jumped
+
+
 def connected_components(ws: Workspace, edges: DataFrame, a: str, b: str) -> DataFrame:
     """Components of an undirected graph, as (``id`` long, ``root`` long: the smallest id reached).
 

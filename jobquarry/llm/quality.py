@@ -3,16 +3,18 @@
 Heuristic labellers vote on each text: good, bad, or nothing. They overlap and err. Their accuracies are estimated by
 expectation maximisation under a model in which votes are independent given the true label: the vote patterns of ALL
 documents are counted first (there are at most 3^labellers patterns, whatever the corpus), so one pass of the corpus
-serves every iteration. The posterior of each pattern then labels a bounded sample of texts, on which a linear scorer
-over hashed shapes of words is trained; it scores every document, also where no labeller votes.
+serves every iteration. The posterior of each pattern then labels a bounded sample of different texts, on which a linear
+scorer over hashed shapes of words is trained; it scores every document, also where no labeller votes.
+Texts are read once: their votes and hashed features are written, counted, sampled and scored from there.
 
 Shapes keep what quality shows in and drop the vocabulary: runs of lower-case letters, capitals and digits
 collapse, other characters stay ("moron###" becomes "a###"), and each shape comes with the shape before it and
 with whether the word repeats its predecessor.
 
-States: null and empty texts are scored as empty (they get a bad vote for length); null ids are kept; repeated rows
-are rows and count in the patterns; extra columns are dropped; with an empty table, or if all patterns are one, the
-scorer falls back on the share of good votes; an empty table gives an empty result.
+States: null and empty texts are scored as empty (they get a bad vote for length); null ids are kept, and their texts are
+sampled like others; repeated rows are rows and count in the patterns, but a text enters the sample once; if all texts vote
+alike, they have one posterior, which the scores approach; words and texts of any length are read whole; extra columns are
+dropped; an empty table gives an empty result.
 """
 
 import math
@@ -25,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Texts of the sample that the scorer is trained on (by hash order of ids and texts).
+from jobquarry.llm.common import Workspace
+
+#: Different texts of the sample that the scorer is trained on, at most (by hash order).
 SAMPLE_ROWS = 6_000
 #: Buckets of hashed features.
 BUCKETS = 1 << 12
@@ -86,32 +90,46 @@ def bucket(name: str) -> int:
 def hashed(words: list[str], shapes: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and values of a text: relative frequencies of shapes, pairs of shapes and repeats."""
     n = max(1, len(words))
-    counts = Counter(s[:12] for s in shapes)
+    counts = Counter(shapes)
     values: dict[int, float] = {bucket("#long"): math.log1p(n) / 10}
     for s, c in counts.items():
         at = bucket(s)
         values[at] = values.get(at, 0.0) + c / n
     for (a, b), c in Counter(zip(shapes, shapes[1:], strict=False)).items():
-        at = bucket(f"{a[:12]} {b[:12]}")
+        at = bucket(f"{a} {b}")
         values[at] = values.get(at, 0.0) + c / n
     same = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
     values[bucket("#same")] = same * 3
     return np.fromiter(values, np.int64, len(values)), np.fromiter(values.values(), float, len(values))
 
 
-def count_patterns(docs: DataFrame, text_col: str) -> dict[str, int]:
-    """How often each vote pattern occurs, over all rows."""
+def featured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each row the id, ``h`` (a hash of the text), ``votes``, and its hashed features: ``at`` (uint16), ``x`` (float32)."""
 
     def each(batches):
-        found: Counter = Counter()
         for batch in batches:
+            marks, places, values = [], [], []
             for t in batch.column("text"):
-                text = t.as_py() or ""
-                found[votes(text, *read(text))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["votes", "n"])
+                text = t.as_py()
+                words, shapes = read(text)
+                at, x = hashed(words, shapes)
+                marks.append(votes(text, words, shapes))
+                places.append(at.astype(np.uint16).tobytes())
+                values.append(x.astype(np.float32).tobytes())
+            columns = [batch.column("id"), batch.column("h"), pa.array(marks, pa.string()), pa.array(places, pa.binary()), pa.array(values, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "h", "votes", "at", "x"])
+
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return rows.mapInArrow(each, "id long, h long, votes string, at binary, x binary")
 
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    return {r["votes"]: r["n"] for r in texts.mapInArrow(each, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()}
+
+def sampled(rows: DataFrame, total: int, sample_rows: int) -> list[tuple[bytes, bytes, str]]:
+    """Features and votes of at most ``sample_rows`` different texts. Hashes below a share of their range are looked at, so
+    about that many rows are, however large the table is; where copies leave too few, so they do."""
+    limit = int((min(1.0, sample_rows / max(1, total)) * 2 - 1) * ((1 << 63) - 1))
+    some = rows.where(F.col("h") <= F.lit(limit)).groupBy("h").agg(*[F.first(c).alias(c) for c in ("at", "x", "votes")])
+    return [(r["at"], r["x"], r["votes"]) for r in some.orderBy("h").limit(sample_rows).collect()]
 
 
 def label_model(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
@@ -139,12 +157,9 @@ def label_model(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
     return dict(zip(names, q.tolist(), strict=True))
 
 
-def train(texts: list[str], posterior: dict[str, float], epochs: int = 12, rate: float = 0.5) -> tuple[float, np.ndarray]:
+def train(sample: list[tuple[bytes, bytes, str]], posterior: dict[str, float], epochs: int = 12, rate: float = 0.5) -> tuple[float, np.ndarray]:
     """Weights of the linear scorer: logistic loss against posteriors, adaptive steps."""
-    rows = []
-    for text in texts:
-        words, shapes = read(text)
-        rows.append((*hashed(words, shapes), posterior.get(votes(text, words, shapes), 0.5)))
+    rows = [(np.frombuffer(at, np.uint16).astype(np.int64), np.frombuffer(x, np.float32).astype(float), posterior.get(v, 0.5)) for at, x, v in sample]
     w, b, grads, bias_grad = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-3), 1e-3
     rng = np.random.default_rng(3)
     for _ in range(epochs):
@@ -161,25 +176,21 @@ def train(texts: list[str], posterior: dict[str, float], epochs: int = 12, rate:
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per row of ``docs``: the id, ``score`` (0 to 1, higher is better), ``kept``, ``votes``, ``posterior``."""
-    posterior = label_model(count_patterns(docs, text_col))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    picked = docs.select(F.xxhash64(F.col(id_col), F.length(text)).alias("h"), F.col(id_col).alias("id")).orderBy("h", "id").limit(sample_rows)
-    chosen = docs.select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(picked.select("id").distinct()), "id")
-    sample = sorted(chosen.select("text").toArrow().column("text").to_pylist())
-    bias, weights = train(sample, posterior)
+    rows = Workspace(docs.sparkSession, "quality").write(featured(docs, id_col, text_col))
+    patterns = {r["votes"]: r["n"] for r in rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
+    posterior = label_model(patterns)
+    bias, weights = train(sampled(rows, sum(patterns.values()), sample_rows), posterior)
 
     def each(batches):
         for batch in batches:
-            scores, marks, beliefs = [], [], []
-            for t in batch.column("text"):
-                body = t.as_py() or ""
-                words, shapes = read(body)
-                at, x = hashed(words, shapes)
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, bias + weights[at] @ x)))))
-                marks.append(votes(body, words, shapes))
-                beliefs.append(posterior.get(marks[-1], 0.5))
-            columns = [pa.array(scores, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_()), pa.array(marks, pa.string()), pa.array(beliefs, pa.float64())]
+            if not batch.num_rows:
+                continue
+            at, x = ([np.frombuffer(v.as_py(), kind) for v in batch.column(c)] for c, kind in (("at", np.uint16), ("x", np.float32)))
+            starts = np.concatenate([[0], np.cumsum([len(v) for v in at])[:-1]])
+            raw = bias + np.add.reduceat(weights[np.concatenate(at).astype(np.int64)] * np.concatenate(x), starts)
+            scores = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+            beliefs = [posterior[v.as_py()] for v in batch.column("votes")]
+            columns = [pa.array(scores), pa.array(scores >= threshold), batch.column("votes"), pa.array(beliefs, pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], ["id", "score", "kept", "votes", "posterior"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(each, "id long, score double, kept boolean, votes string, posterior double").withColumnRenamed("id", id_col)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobquarry.llm.common import PREFIX, Workspace, block_grid, connected_components
+from jobquarry.llm.common import PREFIX, Labels, Workspace, block_grid, connected_components
 
 #: Rows of the sample that lays out the tree.
 SAMPLE_ROWS = 20_000
@@ -158,24 +158,6 @@ def route(tree, fps: np.ndarray, max_bits: int):
     yield from down(tree, np.arange(len(fps)), 1)
 
 
-class Labels:
-    """Labels of positions, contracted by arrays of linked pairs; a label is a position with the same label."""
-
-    def __init__(self, n: int):
-        self.of = np.arange(n)
-
-    def link(self, i: np.ndarray, j: np.ndarray) -> None:
-        while True:
-            a, b = self.of[i], self.of[j]
-            differ = a != b
-            if not differ.any():
-                return
-            i, j, a, b = i[differ], j[differ], a[differ], b[differ]
-            np.minimum.at(self.of, np.maximum(a, b), np.minimum(a, b))
-            while not np.array_equal(jumped := self.of[self.of], self.of):
-                self.of = jumped
-
-
 def link_near(fps: np.ndarray, max_bits: int, labels: Labels) -> None:
     """Links all pairs of ``fps`` within ``max_bits``."""
     todo = [(np.arange(len(fps)), 1)]

@@ -1,25 +1,24 @@
 """Removal of repeated word sequences with prefix-partitioned suffix trees.
 
-Every position of a document that has a full window of words ahead starts a suffix. Two suffixes hang below one
-internal node at a depth of ``window`` words or more exactly if their windows are equal; the node's earliest
-leaf is the first occurrence, its other leaves are repeats. The forest is built in pieces:
-
-1. A census counts all suffixes by the first 1, 3 and 8 words, hashed to a fixed number of bins, so its result
-   is a bounded table whatever the corpus is.
-2. Each suffix belongs to the subtree of its shortest prefix whose bin fits ``group_rows`` suffixes; where even
-   8 words are too common, the whole window is the prefix, spread over as many subtrees as its count asks for.
-   Equal windows have equal prefixes, so they always meet. Small bins share a group.
-3. A map task reads a few megabytes of text at a time and sends each group one row: the suffixes in document
-   order as offsets and, for the path down to depth ``window``, a 64-bit fingerprint of its words. Equal
-   windows of one task are contracted to the earliest, so a passage that a third of all documents carry
-   reaches its group once for each task, not once for each document.
-4. A group sorts its leaves by path; runs of one path are its deep internal nodes. All leaves but the earliest
-   go back as marked starts, are gathered by map task and joined to the documents; a document's marks are its
-   own, so this is bounded by its length.
-
-Fingerprints are sums of randomly weighted words; two different windows share one with a probability of about
-2^-63, so among n distinct windows about n^2 / 2^64 false repeats are expected (0.001 for the 135 million of a
-gigabyte of text).
+A window of ``window`` words repeats if its words start earlier as well. Suffixes are kept at anchors only: the anchor of a
+window is, of the runs of ``PREFIX_WORDS`` words in it, the one with the least hash (the first of equals). It follows from the
+window's words alone, so equal windows have their anchors at the same place, and windows that lie side by side mostly share
+one: about one word in ten starts a suffix.
+
+1. A suffix carries the words of its windows: those after its anchor, which the tree is over, and those before it, which a
+   second tree is over, read backwards. Its prefix, the anchor's words, selects its group. A census counts the suffixes by
+   group; the number of groups grows with the text. Groups that a very common prefix makes too large get longer prefixes: each
+   window is a suffix of its own there, and all its words are the prefix.
+2. A map task reads a few megabytes of text at a time. Equal suffixes of one task are contracted to the earliest, so a passage
+   that a third of all documents carry reaches its group once for each task, not once for each document.
+3. A group sorts its suffixes by their words, forwards and backwards. Common prefixes of neighbours give the internal nodes of
+   both trees at any depth. Windows are equal if their anchors lie at the same place and they hang below one node of depth
+   ``window`` less that place forwards and of that depth backwards: such nodes are the repeats. All windows of a node but the
+   earliest are marked.
+4. Marks are ranges of starts, gathered by document; a document's marks are its own, so this is bounded by its length.
+
+Words are numbered within a group by 64-bit hashes, and all words of one number are compared byte by byte, so equal numbers
+are equal words; what hashes decide besides is only where suffixes go.
 
 States: null text counts as no words; shorter documents than the window keep all; a null id counts as the
 largest id; repeated rows (same id and text) have the same starts, none of which is earlier, so they don't
@@ -29,25 +28,26 @@ columns are dropped; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
+import struct
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobquarry.llm.common import Workspace
 
-#: Words of the prefixes that split suffixes, shortest first.
-LEVELS = (1, 3, 8)
-#: Bins of the census at each level; 3 x 4096 counts come to the driver.
-BINS = 4096
-#: Suffixes that one subtree group should hold (about 10 bytes each).
-GROUP_ROWS = 2_000_000
-#: Bytes of text that a map task turns into rows at a time.
+#: Words of an anchor, which are the shortest prefix that splits suffixes.
+PREFIX_WORDS = 3
+#: Suffixes that a group should hold (some 300 bytes each); one of twice as many is split by longer prefixes.
+GROUP_ROWS = 60_000
+#: Bytes of text that a suffix stands for, about.
+SUFFIX_BYTES = 60
+#: Groups at least, so that small tables are several tasks.
+GROUPS = 16
+#: Bytes of text that a map task turns into suffixes at a time.
 CHUNK = 8 << 20
 
 _RNG = np.random.default_rng(20)
@@ -58,6 +58,9 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _STEP = 1 << 20
 _POWERS = np.cumprod(np.full(_STEP, _BASE, np.uint64))
 _INVERSE = np.cumprod(np.full(_STEP, pow(_BASE, -1, 1 << 64), np.uint64))
+#: What a suffix is sent with: order and tag of its document, word of its anchor, words before and from the anchor on.
+_SENT = np.dtype([("id", "<i8"), ("tag", "<u4"), ("pos", "<u4"), ("left", "<u4"), ("right", "<u4")])
+_MARK = np.dtype([("id", "<i8"), ("tag", "<u4"), ("s", "<u4"), ("e", "<u4")])
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -66,62 +69,68 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hash_piece(piece: np.ndarray) -> np.ndarray:
-    space = _SPACE[piece]
-    edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
+def tokens(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and 64-bit hash of each word, whatever the text's length. Hashes are made in steps of bytes; a
+    word beyond a step is hashed alone."""
+    piece = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[piece], [True]]).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
-    sums = np.zeros(len(piece) + 1, np.uint64)
-    np.cumsum(_BYTES[piece] * _POWERS[: len(piece)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _INVERSE[starts])
-
-
-def _split(piece: np.ndarray) -> np.ndarray:
-    """As ``_hash_piece`` for long texts, in steps that end at white space; a word beyond the step is hashed alone."""
-    parts, at, words = [], 0, np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[piece], [True]]).view(np.int8)))
-    starts, ends = words[::2], words[1::2]
+    out, at = np.empty(len(starts), np.uint64), 0
     while at < len(starts):
         upto = max(at + 1, int(np.searchsorted(ends, starts[at] + _STEP, "right")))
         one = piece[starts[at] : ends[upto - 1]]
-        parts.append(_hash_piece(one) if len(one) <= _STEP else np.array([xxhash.xxh64_intdigest(one.tobytes())], np.uint64))
+        if len(one) > _STEP:
+            out[at] = xxhash.xxh64_intdigest(one.tobytes())
+        else:
+            s, e = starts[at:upto] - starts[at], ends[at:upto] - starts[at]
+            sums = np.zeros(len(one) + 1, np.uint64)
+            np.cumsum(_BYTES[one] * _POWERS[: len(one)], out=sums[1:])
+            out[at:upto] = mix((sums[e] - sums[s]) * _INVERSE[s])
         at = upto
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-
-
-def word_hashes(text: bytes) -> np.ndarray:
-    """A 64-bit hash of each word, in order, whatever the text's length."""
-    piece = np.frombuffer(text, np.uint8)
-    return _split(piece) if len(piece) > _STEP else _hash_piece(piece)
-
-
-def paths(words: np.ndarray, depths: tuple[int, ...], count: int) -> list[np.ndarray]:
-    """For the first ``count`` suffixes of ``words``, fingerprints of their first d words for each d."""
-    weights = np.random.default_rng(99).integers(0, 1 << 63, depths[-1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out, total = [], np.zeros(count, np.uint64)
-    for k in range(depths[-1]):
-        total = total + words[k : k + count] * weights[k]
-        if k + 1 in depths:
-            out.append(mix(total))
-    return out
-
-
-def chunks(batches, window: int):
-    """Yields (ids, tags, first word of each document, starts of suffixes, path fingerprints by depth) for a few
-    megabytes of text, documents in the order of their ids."""
-    depths = (*[d for d in LEVELS if d < window], window)
-
-    def built(docs):
-        docs.sort(key=lambda d: d[0])
-        hashed = [word_hashes(text) for _, _, text in docs]
-        sizes = np.array([len(h) for h in hashed])
-        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        words = np.concatenate([*hashed, np.zeros(window, np.uint64)])
-        valid = np.zeros(int(sizes.sum()), bool)
-        for at, n in zip(first.tolist(), sizes.tolist(), strict=True):
-            if n >= window:
-                valid[at : at + n - window + 1] = True
-        starts = np.flatnonzero(valid)
-        return np.array([d[0] for d in docs], np.int64), np.array([d[1] for d in docs], np.int64), first, starts, [h[starts] for h in paths(words, depths, len(valid))]
-
+    return starts, ends, out
+
+
+def numbered(text: bytes) -> np.ndarray:
+    """A number for each word of ``text``; numbers are equal exactly where words are."""
+    starts, ends, hashes = tokens(text)
+    _, first, numbers = np.unique(hashes, return_index=True, return_inverse=True)
+    size, same = ends - starts, first[numbers]
+    if (size == size[same]).all():
+        piece, before = np.frombuffer(text, np.uint8), np.cumsum(size) - size
+        step = max(1, len(starts) // max(1, int(size.sum()) >> 22))
+        for k in range(0, len(starts), step):
+            part = slice(k, k + step)
+            within = np.arange(int(size[part].sum())) - np.repeat(before[part] - before[k], size[part])
+            if (piece[np.repeat(starts[part], size[part]) + within] != piece[np.repeat(starts[same[part]], size[part]) + within]).any():
+                break
+        else:
+            return numbers.astype(np.int32)
+    known: dict[bytes, int] = {}
+    return np.array([known.setdefault(text[s:e], len(known)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int32)
+
+
+def runs_hashed(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of each ``size`` words in a row."""
+    weights = np.random.default_rng(99).integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    total = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for k in range(size):
+        total += words[k : k + len(total)] * weights[k]
+    return mix(total)
+
+
+def least_of(h: np.ndarray, size: int) -> np.ndarray:
+    """For each ``size`` neighbours the position of the least, the first of equals."""
+    low, at, width = h, np.arange(len(h)), 1
+    while width < size:
+        by = min(width, size - width)
+        n = len(low) - by
+        other = low[by:] < low[:n]
+        low, at, width = np.where(other, low[by:], low[:n]), np.where(other, at[by:], at[:n]), width + by
+    return at
+
+
+def chunks(batches):
+    """Yields lists of (id, tag, text) of a few megabytes, in the order of ids."""
     held, size = [], 0
     for batch in batches:
         for one, tag, text in zip(*(batch.column(c) for c in ("id", "tag", "text")), strict=True):
@@ -129,146 +138,178 @@ def chunks(batches, window: int):
             held.append((one.as_py(), tag.as_py(), data))
             size += len(data)
             if size >= CHUNK:
-                yield built(held)
+                yield sorted(held, key=lambda d: d[0])
                 held, size = [], 0
     if held:
-        yield built(held)
+        yield sorted(held, key=lambda d: d[0])
+
+
+class Suffixes:
+    """The suffixes of one document: anchors, first and last start of their windows, hash of prefix and of all words."""
+
+    def __init__(self, text: bytes, window: int):
+        self.starts, self.ends, words = tokens(text)
+        short = min(PREFIX_WORDS, window)
+        if len(words) < window:
+            self.pos = self.first = self.last = np.zeros(0, np.int64)
+            self.prefix = self.whole = self.windows = np.zeros(0, np.uint64)
+            return
+        h, self.windows = runs_hashed(words, short), runs_hashed(words, window)
+        at = least_of(h, window - short + 1)
+        cuts = np.flatnonzero(np.diff(at)) + 1
+        self.first, self.last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(at)]]) - 1
+        self.pos = at[self.first]
+        self.prefix = mix(h[self.pos] + np.uint64(0x9E3779B97F4A7C15))
+        self.whole = mix(self.windows[self.first] * np.uint64(3) + self.windows[self.last])
 
 
-def packed(values: np.ndarray, kind) -> bytes:
-    """Increasing or small numbers as compressed differences."""
-    return zlib.compress(np.diff(values, prepend=values.dtype.type(0)).astype(kind).tobytes(), 1)
+def census(rows: DataFrame, window: int, groups: int, group_rows: int) -> dict[int, int]:
+    """Groups with over ``2 * group_rows`` suffixes and how many windows they hold. Equal suffixes of a chunk count once,
+    as they are sent once. Counts of all groups stay in the cluster."""
 
+    def count(batches):
+        for docs in chunks(batches):
+            seen = [Suffixes(text, window) for _, _, text in docs]
+            prefix, whole = np.concatenate([s.prefix for s in seen]), np.concatenate([s.whole for s in seen])
+            size = np.concatenate([s.last - s.first + 1 for s in seen])
+            one = np.unique(whole, return_index=True)[1]
+            own, at = np.unique(prefix[one] % np.uint64(groups), return_inverse=True)
+            columns = [own.astype(np.int64), np.bincount(at, minlength=len(own)), np.bincount(at, size[one], len(own)).astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["grp", "n", "windows"])
 
-def unpacked(data: bytes, kind) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), kind).astype(np.int64))
+    found = rows.mapInArrow(count, "grp long, n long, windows long").groupBy("grp").agg(F.sum("n").alias("n"), F.sum("windows").alias("windows"))
+    return {r["grp"]: r["windows"] for r in found.where(F.col("n") > 2 * group_rows).collect()}
 
 
-def earliest(h: np.ndarray, order: np.ndarray, pos: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Leaves by path ``h``: the leaves at the earliest (``order``, ``pos``) of their node, which are several for
-    repeated rows, and the later ones. ``plain``: the leaves come sorted by (``order``, ``pos``)."""
+def earliest(h: np.ndarray, order: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Of leaves below nodes ``h`` those that are later than the earliest (``order``, ``pos``) of their node."""
     by = np.argsort(h, kind="stable")
     if not len(by):
-        return by, by
+        return by
     new = np.concatenate([[True], h[by][1:] != h[by][:-1]])
     node = np.cumsum(new) - 1
-    if not plain:
-        shared = np.flatnonzero(np.bincount(node)[node] > 1)
-        part = by[shared]
-        by[shared] = part[np.lexsort((pos[part], order[part], node[shared]))]
+    shared = np.flatnonzero(np.bincount(node)[node] > 1)
+    part = by[shared]
+    by[shared] = part[np.lexsort((pos[part], order[part], node[shared]))]
     first = by[new][node]
-    later = (order[by] != order[first]) | (pos[by] != pos[first])
-    return by[~later], by[later]
-
-
-def runs(values: np.ndarray) -> list[slice]:
-    """Slices of equal neighbours."""
-    cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)] if len(values) else [0]
-    return [slice(s, e) for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
-
+    return by[(order[by] != order[first]) | (pos[by] != pos[first])]
+
+
+class Tree:
+    """Rows of numbers, sorted, with the lengths of the prefixes that neighbours share."""
+
+    def __init__(self, rows: np.ndarray):
+        self.by = np.lexsort(rows.T[::-1]) if rows.shape[1] else np.arange(len(rows))
+        kept = rows[self.by]
+        self.shared = np.logical_and.accumulate(kept[1:] == kept[:-1], axis=1).sum(axis=1)
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """For each row the number of the node at ``depth`` above it."""
+        out = np.empty(len(self.by), np.int64)
+        out[self.by] = np.concatenate([[0], np.cumsum(self.shared < depth)])
+        return out
+
+
+def repeats(sent: np.ndarray, numbers: np.ndarray, window: int) -> np.ndarray:
+    """Marks for the windows of the suffixes ``sent`` that are equal to an earlier one; ``numbers`` are their words."""
+    n, left, right = len(sent), sent["left"].astype(np.int64), sent["right"].astype(np.int64)
+    anchor = np.cumsum(left + right) - right
+    ahead, back = np.full((n, window), -1, np.int32), np.full((n, int(left.max(initial=0))), -1, np.int32)
+    for d in range(window):
+        ok = right > d
+        ahead[ok, d] = numbers[anchor[ok] + d]
+    for d in range(back.shape[1]):
+        ok = left > d
+        back[ok, d] = numbers[anchor[ok] - 1 - d]
+    forwards, backwards = Tree(ahead), Tree(back)
+    rows, starts = [], []
+    for o in range(back.shape[1] + 1):
+        own = np.flatnonzero((left >= o) & (window - right <= o))
+        if len(own):
+            start = sent["pos"][own].astype(np.int64) - o
+            later = earliest(forwards.nodes(window - o)[own] * n + backwards.nodes(o)[own], sent["id"][own], start)
+            rows.append(own[later])
+            starts.append(start[later])
+    row, start = np.concatenate(rows), np.concatenate(starts)
+    return ranges(sent["id"][row], sent["tag"][row], start)
+
+
+def ranges(ids: np.ndarray, tags: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Starts as ranges of neighbours."""
+    by = np.lexsort((starts, tags, ids))
+    ids, tags, starts = ids[by], tags[by], starts[by]
+    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]) | (starts[1:] > starts[:-1] + 1)]) if len(by) else np.zeros(0, bool)
+    out = np.empty(int(new.sum()), _MARK)
+    out["id"], out["tag"], out["s"] = ids[new], tags[new], starts[new]
+    out["e"] = starts[np.concatenate([new[1:], [True]])] + 1 if len(by) else 0
+    return out
 
-def census(rows: DataFrame, window: int) -> np.ndarray:
-    """Suffixes by level and bin, over all rows."""
-    levels = len([d for d in LEVELS if d < window])
 
-    def count(batches):
-        total = np.zeros((levels, BINS), np.int64)
-        for *_, hashes in chunks(batches, window):
-            for k in range(levels):
-                total[k] += np.bincount((hashes[k] >> np.uint64(52)).astype(np.int64), minlength=BINS)
-        level, at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(total[level, at])], ["level", "bin", "n"])
-
-    out = np.zeros((levels, BINS), np.int64)
-    for r in rows.mapInArrow(count, "level int, bin int, n long").groupBy("level", "bin").agg(F.sum("n").alias("n")).collect():
-        out[r["level"], r["bin"]] = r["n"]
-    return out
+def repeated_starts(rows: DataFrame, window: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """``id``, ``tag``, ``s``, ``e``: ranges of starts of windows that occur earlier; ``rows`` has ``id``, ``tag`` and ``text``."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(GROUPS, size // (SUFFIX_BYTES * group_rows) + 1)
+    large = census(rows, window, groups, group_rows)
+    common, spread = np.array(sorted(large), np.uint64), max(1, sum(large.values()) // group_rows)
 
+    def send(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for docs in chunks(batches):
+            known: dict[tuple, tuple] = {}
+            sent: dict[int, list] = {}
+            marks = []
+            for one, tag, text in docs:
+                own = Suffixes(text, window)
+                if not len(own.pos):
+                    continue
+                group = (own.prefix % np.uint64(groups)).astype(np.int64)
+                split = np.isin(own.prefix % np.uint64(groups), common)
+                pos, first, last = own.pos[~split], own.first[~split], own.last[~split]
+                group = group[~split]
+                if split.any():
+                    single = np.concatenate([np.arange(s, e + 1) for s, e in zip(own.first[split].tolist(), own.last[split].tolist(), strict=True)])
+                    pos, first, last = (np.concatenate([x, single]) for x in (pos, first, last))
+                    group = np.concatenate([group, groups + (own.windows[single] % np.uint64(spread)).astype(np.int64)])
+                begin, end = own.starts[first].tolist(), own.ends[last + window - 1].tolist()
+                for g, p, f, u, b, e in zip(group.tolist(), pos.tolist(), first.tolist(), last.tolist(), begin, end, strict=True):
+                    words = text[b:e]
+                    at = known.setdefault((words, p - f), (one, p))
+                    if at[0] == one and at[1] == p:
+                        sent.setdefault(g, []).append(((one, tag, p, p - f, u + window - p), words))
+                    else:
+                        marks.append((one, tag, f, u + 1))
+            if marks:
+                found = np.array(marks, _MARK)
+                where = mix(found["id"].astype(np.uint64)) % np.uint64(groups)
+                for g in np.unique(where).tolist():
+                    sent[-1 - g] = found[where == g]
+            out = [(g, pack(x.tobytes()) if g < 0 else packed(x, pack)) for g, x in sent.items()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["grp", "data"])
 
-def grouping(counts: np.ndarray, group_rows: int) -> tuple[list[np.ndarray], int, int]:
-    """For each level, the group of each bin (-1: too common, a longer prefix decides); the first group of
-    whole-window prefixes and how many there are. Of a level's bins only the ``share`` counts whose shorter
-    prefixes are too common."""
-    groups, at, share = [], 0, 1.0
-    for of in counts:
-        own, filled = np.full(BINS, -1, np.int32), 0.0
-        for b in np.flatnonzero(of <= group_rows):
-            if filled + of[b] * share > group_rows:
-                at, filled = at + 1, 0.0
-            own[b], filled = at, filled + of[b] * share
-        groups.append(own)
-        at += 1
-        share *= of[of > group_rows].sum() / max(1, of.sum())
-    common = int(share * counts[0].sum()) if len(counts) else group_rows
-    return groups, at, max(1, -(-common // group_rows))
+    def nodes(table: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        parts = [unpack(x.as_py()) for x in table.column("data")]
+        if table.column("grp")[0].as_py() < 0:
+            found = np.frombuffer(b"".join(parts), _MARK)
+        else:
+            heads, texts = zip(*map(parted, parts), strict=True)
+            found = repeats(np.concatenate(heads), numbered(b" ".join(texts)), window)
+        return pa.table({c: found[c].astype(np.int64) for c in ("id", "tag", "s", "e")})
 
+    sent = rows.mapInArrow(send, "grp long, data binary")
+    return sent.groupBy("grp").applyInArrow(nodes, "id long, tag long, s long, e long")
 
-def repeated_starts(rows: DataFrame, window: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """``id``, ``tag``, ``starts`` (uint32 word offsets, little-endian): the starts of windows that occur earlier,
-    for documents that have any; ``rows`` has ``id``, ``tag`` and ``text``."""
-    groups, wide, spread = grouping(census(rows, window), group_rows)
 
-    def route(hashes):
-        group = (wide + (hashes[-1] >> np.uint64(33)) % np.uint64(spread)).astype(np.int32)
-        for k in reversed(range(len(groups))):
-            own = groups[k][hashes[k] >> np.uint64(52)]
-            group = np.where(own >= 0, own, group)
-        return group
+def packed(suffixes: list, pack) -> bytes:
+    head = np.array([about for about, _ in suffixes], _SENT)
+    return pack(struct.pack("<I", len(head)) + head.tobytes() + b" ".join(words for _, words in suffixes))
 
-    def send(batches):
-        task = TaskContext.get().partitionId() << 32
-        for nth, (ids, tags, first, starts, hashes) in enumerate(chunks(batches, window)):
-            if not len(starts):
-                continue
-            doc = np.searchsorted(first, starts, "right") - 1
-            lead, later = earliest(hashes[-1], ids[doc], starts - first[doc], len(np.unique(ids)) == len(ids))
-            group, kind = route(hashes), np.zeros(len(starts), np.int8)
-            kind[lead], kind[later] = 1, 2
-            by = np.argsort(group, kind="stable")
-            about, names = (packed(ids, np.int64), packed(first, np.uint32)), zlib.compress(tags.astype(np.uint32).tobytes(), 1)
-            out = {c: [] for c in ("chunk", "grp", "ids", "first", "tags", "path", "lead", "later")}
-            for part in (by[run] for run in runs(group[by])):
-                ours, theirs = part[kind[part] == 1], part[kind[part] == 2]
-                values = (task + nth, int(group[part[0]]), *about, None if out["chunk"] else names, hashes[-1][ours].tobytes(), packed(starts[ours], np.uint32), packed(starts[theirs], np.uint32))
-                for c, v in zip(out, values, strict=True):
-                    out[c].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("chunk", pa.int64()), ("grp", pa.int32()), *[(c, pa.binary()) for c in list(out)[2:]]]))
 
-    def nodes(table: pa.Table) -> pa.Table:
-        ids, first, starts, path, owner, marks = [], [], [], [], [], []
-        for k, r in enumerate(table.select(["ids", "first", "path", "lead", "later"]).to_pylist()):
-            ids.append(unpacked(r["ids"], np.int64))
-            first.append(unpacked(r["first"], np.uint32))
-            path.append(np.frombuffer(r["path"], np.uint64))
-            starts.append(unpacked(r["lead"], np.uint32).astype(np.int32))
-            owner.append(np.full(len(path[-1]), k, np.int32))
-            marks.append([unpacked(r["later"], np.uint32)])
-        doc = [np.searchsorted(f, s, "right") - 1 for f, s in zip(first, starts, strict=True)]
-        order = np.concatenate([i[d] for i, d in zip(ids, doc, strict=True)])
-        pos = np.concatenate([s - f[d].astype(np.int32) for s, f, d in zip(starts, first, doc, strict=True)])
-        owner, start = np.concatenate(owner), np.concatenate(starts)
-        _, later = earliest(np.concatenate(path), order, pos, False)
-        later = later[np.argsort(owner[later], kind="stable")]
-        for run in runs(owner[later]):
-            marks[owner[later[run.start]]].append(start[later[run]])
-        found = [packed(np.sort(np.concatenate(m)), np.uint32) for m in marks]
-        about = [[r[c] if r["tags"] is not None else None for r in table.select(["ids", "first", "tags"]).to_pylist()] for c in ("ids", "first", "tags")]
-        return pa.table([table.column("chunk"), *[pa.array(x, pa.binary()) for x in (*about, found)]], ["chunk", "ids", "first", "tags", "marks"])
-
-    def by_document(table: pa.Table) -> pa.Table:
-        about = next(r for r in table.select(["ids", "first", "tags"]).to_pylist() if r["tags"] is not None)
-        ids, tags = unpacked(about["ids"], np.int64), np.frombuffer(zlib.decompress(about["tags"]), np.uint32)
-        first = unpacked(about["first"], np.uint32)
-        marks = np.sort(np.concatenate([unpacked(m.as_py(), np.uint32) for m in table.column("marks")]))
-        of = np.searchsorted(first, marks, "right") - 1
-        parts = runs(of)
-        docs = np.array([of[run.start] for run in parts], np.int64)
-        starts = [(marks[run] - first[d]).astype(np.uint32).tobytes() for run, d in zip(parts, docs, strict=True)]
-        return pa.table([pa.array(ids[docs]), pa.array(tags[docs].astype(np.int64)), pa.array(starts, pa.binary())], ["id", "tag", "starts"])
-
-    sent = rows.mapInArrow(send, "chunk long, grp int, ids binary, first binary, tags binary, path binary, lead binary, later binary")
-    marked = sent.groupBy("grp").applyInArrow(nodes, "chunk long, ids binary, first binary, tags binary, marks binary")
-    return marked.groupBy("chunk").applyInArrow(by_document, "id long, tag long, starts binary")
+def parted(data: bytes) -> tuple[np.ndarray, bytes]:
+    (n,) = struct.unpack_from("<I", data)
+    upto = 4 + n * _SENT.itemsize
+    return np.frombuffer(data[4:upto], _SENT), data[upto:]
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -282,19 +323,19 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     marks = repeated_starts(keyed.select("id", "tag", "text"), window, group_rows)
     marks = Workspace(docs.sparkSession, "substring").write(marks)
-    marks = marks.groupBy("id", "tag").agg(F.collect_list("starts").alias("starts"))
+    marks = marks.groupBy("id", "tag").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
 
     def cut(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             n_words, n_removed, kept, removed = [], [], [], []
-            for text, parts in zip(batch.column("text"), batch.column("starts"), strict=True):
+            for text, *edges in zip(*(batch.column(c) for c in ("text", "s", "e")), strict=True):
                 words = unpack(text.as_py()).split()
                 gone = np.zeros(len(words) + 1, np.int32)
-                for part in parts.as_py() or ():
-                    at = np.frombuffer(part, np.uint32).astype(np.int64)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
+                if edges[0].is_valid:
+                    s, e = (x.values.to_numpy() for x in edges)
+                    np.add.at(gone, s, 1)
+                    np.add.at(gone, e - 1 + window, -1)
                 covered = np.cumsum(gone)[:-1] > 0
                 n_words.append(len(words))
                 n_removed.append(int(covered.sum()))
@@ -310,5 +351,5 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("own", "id", "tag")), texts], ["own", "id", "tag", "text"])
 
     texts = keyed.mapInArrow(small, "own long, id long, tag long, text binary")
-    joined = texts.join(marks, ["id", "tag"], "left").select("own", "text", "starts")
+    joined = texts.join(marks, ["id", "tag"], "left").select("own", "text", "s", "e")
     return joined.mapInArrow(cut, "id long, n_words long, n_removed long, kept string, removed string").withColumnRenamed("id", id_col)

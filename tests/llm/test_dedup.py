@@ -152,7 +152,7 @@ def kept_words(rows, window):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [50, 2_000_000])
+@pytest.mark.parametrize("group_rows", [3, 50, 60_000])
 def test_repeats_against_brute_force(spark, group_rows):
     passage = words(3, 30)
     rows = [(k, " ".join(words(10 + k, 40) + passage + words(90 + k, 10)), "s") for k in range(6)]
@@ -173,10 +173,39 @@ def test_repeats_of_equal_rows_null_ids_and_huge_words(spark):
 
 def test_word_hashes_do_not_depend_on_the_step():
     text = (" ".join(words(8, 400_000)) + " ").encode()
-    whole = substring.word_hashes(text)
-    assert len(text) > substring._STEP and len(whole) == 400_000
-    assert (whole[:3] == substring.word_hashes(b"\n ".join(text.split(b" ", 4)[:3]))).all()
-    assert (whole[-3:] == substring.word_hashes(b" ".join(text.split()[-3:]))).all()
+    starts, ends, whole = substring.tokens(text)
+    assert len(text) > substring._STEP and len(whole) == 400_000 and text[starts[7] : ends[7]] == text.split()[7]
+    assert (whole[:3] == substring.tokens(b"\n ".join(text.split(b" ", 4)[:3]))[2]).all()
+    assert (whole[-3:] == substring.tokens(b" ".join(text.split()[-3:]))[2]).all()
+
+
+def test_words_of_one_number_are_equal(monkeypatch):
+    text = "a bb a ccc bb é a".encode()
+    assert substring.numbered(text).tolist() == [substring.numbered(text).tolist()[k] for k in (0, 1, 0, 3, 1, 5, 0)]
+    real = substring.tokens
+    monkeypatch.setattr(substring, "tokens", lambda t: (*real(t)[:2], real(t)[2] % np.uint64(2)))  # hashes that collide
+    assert len(set(substring.numbered(b"a b c d e f")) - {0}) == 5 and substring.numbered(b"aa b aa c").tolist() == [0, 1, 0, 2]
+
+
+@pytest.mark.parametrize("window", [2, 3, 5, 20])
+def test_trees_give_the_windows_that_start_earlier(window):
+    rng = np.random.default_rng(window)
+    texts = [" ".join(rng.choice(list("abc"), rng.integers(0, 90))) for _ in range(30)]
+    texts += [texts[3] + " " + texts[4], "x " * 70]
+    sent, data, want, seen = [], [], set(), set()
+    for one, text in enumerate(texts):
+        own = substring.Suffixes(text.encode(), window)
+        for p, f, u in zip(own.pos.tolist(), own.first.tolist(), own.last.tolist(), strict=True):
+            sent.append((one, 7, p, p - f, u + window - p))
+            data.append(text.encode()[own.starts[f] : own.ends[u + window - 1]])
+        w = text.split()
+        for k in range(len(w) - window + 1):
+            if tuple(w[k : k + window]) in seen:
+                want.add((one, k))
+            seen.add(tuple(w[k : k + window]))
+    found = substring.repeats(np.array(sent, substring._SENT), substring.numbered(b" ".join(data)), window)
+    assert {(int(m["id"]), k) for m in found for k in range(m["s"], m["e"])} == want and len(want) > 20
+    assert sum(int(m["e"]) - int(m["s"]) for m in found) == len(want)
 
 
 def test_vectors_against_brute_force(spark):
@@ -186,19 +215,40 @@ def test_vectors_against_brute_force(spark):
     x = np.concatenate([base, near, base[:3], 7 * base[3:5]]).astype(np.float32)
     rows = [(k, [float(v) for v in r], k % 3) for k, r in enumerate(x)]
     odd = [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] + [1.0] * 15, 0), (903, [float("inf")] * 16, 0), (904, [None] + [1.0] * 15, 1), (905, [1.0] * 4, 1)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit(1)).withColumn("n", F.lit("n"))
-    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.vector_components(df).collect()}
+    other = [(906, [2.0, 2.0, 2.0, 2.1], 1), (None, [1.0, 0.0, 0.0, 0.0], 1), (907, [1.0, 0.0, 0.0], 1), (0, [-1.0, 0.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows + odd + other, "vec_id long, embedding array<float>, label int").withColumn("id", F.lit(1)).withColumn("n", F.lit("n"))
+    rows = embed_dedup.vector_components(df).collect()
+    assert len(rows) == len(x) + 10 and {(r.n_links, r.component_id) for r in rows if r.vec_id is None} == {(0, None)}
+    assert sorted((r.n_links, r.component_id) for r in rows if r.vec_id == 0)[0] == (0, 0)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in sorted(rows, key=lambda r: r.n_links) if r.vec_id is not None}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
     linked = (u @ u.T) >= 0.95
     np.fill_diagonal(linked, False)
     comp = components(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(linked), strict=True)])
-    want = {k: (int(linked[k].sum()), comp[k]) for k in range(len(x))} | {k: (0, k) for k, _, _ in odd}
+    want = {k: (int(linked[k].sum()), comp[k]) for k in range(len(x))} | {k: (0, k) for k, _, _ in odd} | {905: (1, 905), 906: (1, 905), 907: (0, 907)}
     assert sum(n for n, _ in want.values()) > 100
     found = sum(n for n, _ in got.values()) / sum(n for n, _ in want.values())
     assert found >= 0.99 and all(got[k][0] <= want[k][0] for k in want) and set(got) == set(want)
     assert found < 1 or got == want
 
 
+def test_vectors_just_at_the_threshold(spark):
+    """Cosines within the band of 32-bit rounding are settled in double precision."""
+    rng, rows = np.random.default_rng(3), []
+    for k in range(200):
+        a = rng.standard_normal(24)
+        a /= np.linalg.norm(a)
+        n = rng.standard_normal(24)
+        n -= (n @ a) * a
+        c = 0.95 + (k - 99.5) * 2e-9
+        rows += [a, c * a + np.sqrt(1 - c * c) * n / np.linalg.norm(n)]
+    x = np.array(rows)
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    u = embed_dedup.unit(x)
+    got = {r.vec_id: r.n_links for r in embed_dedup.vector_components(df).collect()}
+    assert got == {k: int((u @ u[k] >= 0.95).sum()) - 1 for k in range(len(x))} and 150 < sum(got.values()) < 250
+
+
 def test_vectors_empty_and_all_unusable(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert embed_dedup.vector_components(spark.createDataFrame([], kind)).collect() == []

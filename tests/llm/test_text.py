@@ -378,9 +378,40 @@ def test_quality_separates_junk(spark):
     assert sum(got[k].kept for k, *_ in good) >= 297 and sum(got[k].kept for k, *_ in junk) <= 2
     assert got[5002].kept and all(0 <= r.score <= 1 for r in got.values())
     assert quality.score_quality(documents(spark, [])).collect() == []
+    nameless = quality.score_quality(documents(spark, [(None, t, "s") for _, t, _ in good + junk])).collect()
+    assert sum(r.kept for r in nameless) == sum(got[k].kept for k, *_ in good + junk)
     assert quality.score_quality(documents(spark, [(1, "x", "s")])).count() == 1
 
 
+def test_quality_label_model_against_a_plain_loop():
+    rng = random.Random(3)
+    patterns = {"".join(rng.choice("0+-") for _ in range(4)): rng.randrange(1, 40) for _ in range(30)}
+    q = {p: min(0.95, max(0.05, 0.7 + 0.2 * p.count("+") - 0.4 * p.count("-"))) for p in patterns}
+    for _ in range(60):
+        mass = {True: sum(n * q[p] for p, n in patterns.items()), False: sum(n * (1 - q[p]) for p, n in patterns.items())}
+        prior = (mass[True] + 1) / (mass[True] + mass[False] + 2)
+        new = {}
+        for p in patterns:
+            odds = {True: prior, False: 1 - prior}
+            for k, c in enumerate(p):
+                for good in odds:
+                    here = sum(n * (q[o] if good else 1 - q[o]) for o, n in patterns.items() if o[k] == c)
+                    odds[good] *= (here + 0.5) / (mass[good] + 1.5)
+            new[p] = odds[True] / (odds[True] + odds[False])
+        done = max(abs(new[p] - q[p]) for p in q) < 1e-6
+        if done:
+            break
+        q = new
+    found = quality.label_model(patterns)
+    assert all(abs(found[p] - q[p]) < 1e-9 for p in q)
+
+
+def test_quality_sample_is_bounded_and_of_different_texts(spark):
+    rows = spark.createDataFrame([(k % 700, b"a", b"b", "0") for k in range(3000)], "k long, at binary, x binary, votes string").withColumn("h", F.xxhash64("k"))
+    assert 60 <= len(quality.sampled(rows, 3000, 500)) <= 180 and len(quality.sampled(rows, 3000, 10_000)) == 700
+    assert len(quality.sampled(rows, 600, 500)) == 500
+
+
 def luhn(d):
     s = 0
     for k, c in enumerate(reversed(d)):

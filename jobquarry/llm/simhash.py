@@ -8,7 +8,8 @@ merged first, so copies cost nothing afterwards. The distinct ones are joined by
    fingerprints within ``max_bits`` of each other have distances to the pivot that differ by ``max_bits`` at
    most, so a left one whose distance lies in the last ``max_bits`` values before the boundary is also sent
    right. Every linked pair thus meets in some leaf, whatever the pivots are; the sample only sets the balance.
-2. Each leaf is a shard. Shards that came out large are cut into pairs of blocks. Within a group the
+2. Each leaf is a shard. Where the sample is too small for shards to be, large leaves get trees of their own, laid out and
+   applied in the cluster, as often as it takes. Shards that still came out large are cut into pairs of blocks. Within a group the
    same recursion goes on in memory down to small sets that are compared directly, and links are contracted
    to one edge per fingerprint, so a large set of near copies never becomes a list of pairs.
 3. Components over these edges come from ``common.connected_components``.
@@ -30,6 +31,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,9 @@ from pyspark.sql import functions as F
 
 from jobquarry.llm.common import PREFIX, Labels, Workspace, block_grid, connected_components
 
-#: Rows of the sample that lays out the tree.
+#: Rows of the sample that lays out a tree, and of its leaves at least.
 SAMPLE_ROWS = 20_000
+SAMPLE_LEAF = 64
 #: Fingerprints that a shard should hold, and a block of a shard that came out larger.
 SHARD_ROWS = 40_000
 BLOCK_ROWS = 60_000
@@ -134,7 +137,7 @@ def sides(fps: np.ndarray, pivot: int, radius: int, max_bits: int) -> tuple[np.n
 
 def layout(sample: np.ndarray, total: int, max_bits: int, shard_rows: int, seed: int = 1):
     """A nested (pivot, radius, left, right), leaves being None, so that a leaf gets about ``shard_rows`` rows."""
-    if not len(sample) or total <= shard_rows or len(sample) < 64:
+    if not len(sample) or total <= shard_rows or len(sample) < SAMPLE_LEAF:
         return None
     split = best_split(sample, max_bits, seed)
     if split is None:
@@ -177,6 +180,36 @@ def link_near(fps: np.ndarray, max_bits: int, labels: Labels) -> None:
                 labels.link(at[i[keep]], at[j[keep]])
 
 
+def split_again(leaves: DataFrame, max_bits: int, shard_rows: int, sample_rows: int) -> DataFrame:
+    """``leaves`` (``leaf``, ``fp``) with leaves of over ``2 * shard_rows`` split by a tree of their own, laid out on a sample
+    of ``sample_rows`` of their rows at most, wherever those are: the driver sees neither rows nor trees."""
+    large = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * shard_rows)
+    picked = F.pmod(F.xxhash64("fp", F.lit(5)), F.lit(1 << 40)) < F.lit(float(sample_rows) * (1 << 40)) / F.col("n")
+
+    def build(table: pa.Table) -> pa.Table:
+        sample = np.sort(table.column("fp").to_numpy().view(np.uint64))
+        tree = layout(sample, table.column("n")[0].as_py(), max_bits, shard_rows)
+        return pa.table({"large": table.column("leaf")[:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
+
+    trees = leaves.join(large, "leaf").where(picked).groupBy("leaf").applyInArrow(build, "large long, tree binary")
+
+    def spread(batches):
+        for batch in batches:
+            known, fps = {}, batch.column("fp").to_numpy().view(np.uint64)
+            names, tree = batch.column("leaf").to_numpy(), batch.column("tree")
+            for leaf in np.unique(names):
+                own = np.flatnonzero(names == leaf)
+                if leaf not in known:
+                    value = tree[int(own[0])].as_py()
+                    known[leaf] = pickle.loads(value) if value else None
+                for sub, at in route(known[leaf], fps[own], max_bits):
+                    # A leaf's name is hashed with that of its subtree; leaves that share a name are one shard.
+                    name = xxhash.xxh64_intdigest(f"{leaf}.{sub}") >> 1 if known[leaf] is not None else leaf
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), name, np.int64)), pa.array(fps[own[at]].view(np.int64))], ["leaf", "fp"])
+
+    return leaves.join(trees, F.col("leaf") == F.col("large"), "left").select("leaf", "fp", "tree").mapInArrow(spread, "leaf long, fp long")
+
+
 def hamming_components(ws: Workspace, distinct: DataFrame, max_bits: int, shard_rows: int = SHARD_ROWS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(``fp``, ``root``) of every fingerprint of the written table ``distinct`` (column ``fp``, no repeats) that
     is linked, directly or through others, to another one at ``max_bits`` or fewer differing bits."""
@@ -199,6 +232,11 @@ def hamming_components(ws: Workspace, distinct: DataFrame, max_bits: int, shard_
         return pa.table({"a": fps[linked].view(np.int64), "b": fps[labels.of[linked]].view(np.int64)})
 
     leaves = distinct.select("fp").mapInArrow(spread, "leaf long, fp long")
+    # A sample lays out leaves of SAMPLE_LEAF of its rows at least; where they stand for too many, they are split again.
+    held = total * SAMPLE_LEAF / max(1, len(sample))
+    while held > 2 * shard_rows and len(sample) >= 4 * SAMPLE_LEAF:
+        leaves = split_again(ws.write(leaves), max_bits, shard_rows, sample_rows)
+        held = held * SAMPLE_LEAF / sample_rows
     grid = block_grid(leaves, ["leaf"], "fp", BLOCK_ROWS)
     edges = grid.select("leaf", "bi", "bj", "fp").groupBy("leaf", "bi", "bj").applyInArrow(near, "a long, b long")
     return connected_components(ws, edges, "a", "b").select(F.col("id").alias("fp"), "root")

@@ -66,14 +66,15 @@ def test_simhash_null_ids_and_empty_table(spark):
     assert simhash.simhash_components(documents(spark, [])).collect() == []
 
 
-def test_tree_finds_all_pairs_in_many_shards(spark):
+@pytest.mark.parametrize("sample_rows", [20_000, 300])
+def test_tree_finds_all_pairs_in_many_shards(spark, sample_rows):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
     near = base ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
     fps = np.unique(np.concatenate([base, near]))
     ws = common.Workspace(spark, "test")
     distinct = ws.write(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"))
-    got = {r.fp: r.root for r in simhash.hamming_components(ws, distinct, 2, shard_rows=200).collect()}
+    got = {r.fp: r.root for r in simhash.hamming_components(ws, distinct, 2, shard_rows=100, sample_rows=sample_rows).collect()}
     i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2)
     signed = fps.view(np.int64)
     want = components([int(x) for x in signed], [(int(signed[a]), int(signed[b])) for a, b in zip(i, j, strict=True) if a < b])

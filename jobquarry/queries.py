@@ -5,18 +5,17 @@ search, rank, merge, change, rollup, join, order, fresh, text, vector, eval."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobquarry.functions import extract, keys, mentions, places, text, vectors
+from jobquarry.functions import extract, keys, text, vectors
 from jobquarry.operators import aggregates, changes, dedup, freshness, joins, ordering
 from jobquarry.plans import ranking
 from jobquarry.plans.search import SearchQuery, matching, search, whats_new
-from jobquarry.sources import feeds, fixtures, more_feeds  # noqa: F401  (the last adds rules)
 from jobquarry.sources.bridge import JOBS_SQL, SNAPSHOTS_SQL, TODAY, jobs, snapshots, table
+from jobquarry.streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,18 +33,6 @@ def query(sql: str | None = None):
     return add
 
 
-def _literal(v) -> str:
-    if v is None:
-        return "NULL"
-    return str(v) if isinstance(v, bool | int | float) else "'" + str(v).replace("'", "''") + "'"
-
-
-def _values(columns: dict[str, str], rows: list[tuple]) -> str:
-    """SQL of literal rows with typed columns."""
-    listed = ", ".join("(" + ", ".join(map(_literal, r)) + ")" for r in rows)
-    return "SELECT " + ", ".join(f"{c}::{t} AS {c}" for c, t in columns.items()) + f" FROM (VALUES {listed}) AS v({', '.join(columns)})"
-
-
 # ---- search ---------------------------------------------------------------------------------------------------------
 
 SHOWN = ("id", "title", "level", "sector", "salary_min", "salary_max", "posted_at")
@@ -231,7 +218,10 @@ def merge_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, ord % 12000 AS source_job_id, min(ord) AS first, count(*) AS copies FROM JOBS GROUP BY 1, 2")
 def merge_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs(spark, sf_dir).groupBy("source", (F.col("ord") % 12000).alias("source_job_id")).agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("copies"))
+    """Titles that have nothing in common leave only copies of one (source, id) in a group."""
+    p = _postings(spark, sf_dir).withColumn("title", F.sha1(F.col("ord").cast("string")))
+    grouped = dedup.cluster(p).groupBy(F.col("cluster").alias("ord")).agg(F.count(F.lit(1)).alias("copies"))
+    return grouped.join(p.select("ord", "source", "source_job_id"), "ord").select("source", F.col("source_job_id").cast("long").alias("source_job_id"), F.col("ord").alias("first"), "copies")
 
 
 @query(
@@ -649,11 +639,6 @@ TITLE_LEVELS = dict(
 )
 
 
-@query(_values({"company": "VARCHAR", "sector": "VARCHAR"}, fixtures.COMPANIES))
-def text_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(c,) for c, _ in fixtures.COMPANIES], "company string").withColumn("sector", extract.sector_from_name(F.col("company")))
-
-
 @query("SELECT id, CASE title " + " ".join(f"WHEN '{t}' THEN '{v}'" for t, v in TITLE_LEVELS.items()) + " END AS level FROM JOBS")
 def text_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).select("id", extract.level_from_title(F.col("title")).alias("level"))
@@ -669,54 +654,7 @@ def text_python_float(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def fresh_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
-
-
-
-
-# ---- literal fixtures -----------------------------------------------------------------------------------------------
-
-
-def _texts(spark: SparkSession, rows) -> DataFrame:
-    return spark.createDataFrame([(t,) for t in rows], "text string")
-
-
-@query(_values({"text": "VARCHAR", "low": "INTEGER", "high": "INTEGER"}, [(t, *v) for t, v in fixtures.YEARS.items()]))
-def text_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, fixtures.YEARS).withColumn("y", mentions.years(F.col("text"), F.lit(None).cast("string"))).select("text", "y.low", "y.high")
-
-
-@query(_values({"text": "VARCHAR", "level": "VARCHAR", "required": "BOOLEAN"}, [(t, *v) for t, v in fixtures.DEGREES.items()]))
-def text_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(spark, fixtures.DEGREES).withColumn("d", mentions.degree(F.col("text"))).select("text", "d.level", "d.required")
-
-
-@query(_values({"text": "VARCHAR", "min_amount": "DOUBLE", "max_amount": "DOUBLE", "currency": "VARCHAR", "interval": "VARCHAR"}, [(t, *(v or (None,) * 4)) for t, v in fixtures.SALARIES.items()]))
-def text_salaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _texts(spark, fixtures.SALARIES).withColumn("s", mentions.salary(F.col("text"), F.lit(None).cast("string")))
-    return found.select("text", "s.min_amount", "s.max_amount", "s.currency", "s.interval")
-
-
-_PLACES = {t: v for t, v in fixtures.LOCATIONS.items() if t != "Any City"}
-
-
-@query(_values({"text": "VARCHAR", "city": "VARCHAR", "region": "VARCHAR", "country": "VARCHAR"}, [(t, *v) for t, v in _PLACES.items()]))
-def text_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None).cast("string")
-    return _texts(spark, _PLACES).withColumn("p", places.reader(fixtures.CITIES)(none, none, none, F.col("text"), F.lit(False))).select("text", "p.city", "p.region", "p.country")
-
-
-def _register_feeds() -> None:
-    for source, (payload, want) in fixtures.PAYLOADS.items():
-
-        def run(spark: SparkSession, sf_dir: str, source=source, payload=payload, want=want) -> DataFrame:
-            rows = spark.createDataFrame([(1, json.dumps(payload), "Board")], "ord long, payload string, company string")
-            return feeds.normalize(rows, source).select(*[F.col(c).cast("string").alias(c) for c in want])
-
-        run.__name__ = f"feed_{source}"
-        shown = {c: "true" if v is True else v for c, v in want.items()}
-        query("SELECT " + ", ".join(f"{_literal(str(v))} AS {c}" for c, v in shown.items()))(run)
+    return state.activity(table(spark, sf_dir, "events")).select(F.col("window.start").alias("day"), "event_type", "n")
 
 
-_register_feeds()
+from jobquarry import more_queries, text_queries  # noqa: E402, F401  (they register their queries with the functions above)

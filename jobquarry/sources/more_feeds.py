@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jobquarry.functions import text
 from jobquarry.functions.extract import level_from_stated
-from jobquarry.functions.mentions import degree_from_stated
+from jobquarry.functions.degrees import degree_from_stated
 from jobquarry.sources.feeds import CONTRACTS, WORKPLACE, Payload, epoch, instant, is_remote_text, mapped, pay, place, places, register
 
 # Words of these sources.

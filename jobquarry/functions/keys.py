@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,12 @@ def company_key(company: Column) -> Column:
     return _without(company, COMPANY_STOPWORDS)
 
 
+def company_key_of(company: str) -> str:
+    """The same of a known name."""
+    own = re.findall("[a-z0-9]+", company.lower().replace("&", " and "))
+    return " ".join([t for t in own if t not in COMPANY_STOPWORDS] or own)
+
+
 def role_family(title: Column) -> Column:
     """A title without words of seniority; if nothing else is left, with them."""
     return _without(title, TITLE_STOPWORDS)

@@ -142,4 +142,5 @@ LOCATIONS = {
 COMPANIES = [
     ("First National Bank", "Banking/Finance"), ("Educação Global", "Education"), ("Sunrise Real Estate", "RealEstate/PropTech"), ("Embankment Ltd", None), ("Acme Renewable Energy", "Energy/Climate"),
     ("Blue Hotel Group", "Travel/Hospitality"), ("Acme", None),
+    ("DOMINO'S, Inc.", "Food/Beverage"), ("Sika AG", "Manufacturing/Industrial"), ("Thales", "Aerospace/Defense"),
 ]

@@ -82,7 +82,7 @@ def text_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     name: Column = F.lit(None).cast("string")
     for k, (company, _) in enumerate(fixtures.COMPANIES):
         name = F.when(F.col("c_custkey") % len(fixtures.COMPANIES) == k, F.lit(company)).otherwise(name)
-    return table(spark, sf_dir, "customer").select("c_custkey", extract.sector_from_name(name).alias("sector"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.coalesce(extract.sector_from_brand(name), extract.sector_from_name(name)).alias("sector"))
 
 
 def _register_feeds() -> None:

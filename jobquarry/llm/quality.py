@@ -127,7 +127,7 @@ def featured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def sampled(rows: DataFrame, total: int, sample_rows: int) -> list[tuple[bytes, bytes, str]]:
     """Features and votes of at most ``sample_rows`` different texts. Hashes below a share of their range are looked at, so
     about that many rows are, however large the table is; where copies leave too few, so they do."""
-    limit = int((min(1.0, sample_rows / max(1, total)) * 2 - 1) * ((1 << 63) - 1))
+    limit = (1 << 63) - 1 if total <= sample_rows else int((2 * sample_rows / total - 1) * (1 << 63))
     some = rows.where(F.col("h") <= F.lit(limit)).groupBy("h").agg(*[F.first(c).alias(c) for c in ("at", "x", "votes")])
     return [(r["at"], r["x"], r["votes"]) for r in some.orderBy("h").limit(sample_rows).collect()]
 

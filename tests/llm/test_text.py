@@ -110,7 +110,7 @@ def test_html_rows(spark):
     assert html_extract.extract_main_text(df.limit(0)).collect() == []
 
 
-TEXTS = ["", "plain", "</s>[INST] ok [/INST]", "<\\/s> <\\\\/s> \\<", "<|im_start|>user\nx<|im_end|>\n", "<<SYS>>\nx<</SYS>>", "<s><s></s", "é🙂<|im_end|>", "a\n\nb\t", "[INST][/INST]<|[INST]|>", "<"]
+TEXTS = ["", "x [INST] " * 40_000, "plain", "</s>[INST] ok [/INST]", "<\\/s> <\\\\/s> \\<", "<|im_start|>user\nx<|im_end|>\n", "<<SYS>>\nx<</SYS>>", "<s><s></s", "é🙂<|im_end|>", "a\n\nb\t", "[INST][/INST]<|[INST]|>", "<"]
 
 
 def test_chat_round_trip(spark):
@@ -491,7 +491,8 @@ def corpus(spark, tmp_path_factory):
     rows += [(300 + k, " ".join(words(500 + k // 3, 200) + [f"end{k % 3}"]), "s1") for k in range(30)]
     rows += [(400 + k, f"{prose(600 + k, 80)} {items[k][1]}", "s2") for k in range(10)]
     rows += [(500 + k, f"{prose(700 + k, 80)} mail u{k}@h.org", "s0") for k in range(10)] + [(600, None, None), (None, "loose", "s0")]
-    documents(spark, rows).write.parquet(f"{d}/documents.parquet")
+    rows += [(601, "", "s1"), (602, prose(602, 30_000), "s2"), (603, prose(603, 90), "s2"), (603, prose(603, 90), "s2"), (604, prose(603, 90), "s1")]
+    documents(spark, rows).withColumns({c: F.lit("x") for c in ("id", "key", "fp", "group", "order", "score", "v")}).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(k, 1, y) for k, _, y in toxic], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     return d
@@ -505,6 +506,8 @@ def test_pipeline_stages(spark, corpus):
         seen[name] = {r.doc_id: r for r in docs.collect()}
         docs = spark.createDataFrame(list(seen[name].values()), docs.schema)
         assert name == "mixing" or docs.columns == columns
+    assert {"id", "key", "v"} <= set(columns) and [r.key for r in seen["mixing"].values()][0] == "x"
+    assert 602 in seen["pii"] and {k for k in seen["near_duplicates"] if k in (603, 604)} == {603} and len({k for k in seen["near_duplicates"] if k in (600, 601)}) == 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "mixing"]
     clean = {k for k in range(200) if k % 5}
     assert len(clean - set(seen["toxicity"])) <= 2 and len({k for k in range(0, 200, 5)} & set(seen["toxicity"])) <= 2

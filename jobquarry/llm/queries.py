@@ -30,6 +30,17 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
+#: By definition: all pairs, and what links reach. Vectors that can't be compared link with nothing.
+OP2_SQL = r"""
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS row, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT * FROM e WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+l AS (SELECT a.row AS a, b.row AS b FROM u a JOIN u b ON a.row <> b.row AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT row, vec_id AS root FROM e UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.row),
+n AS (SELECT a AS row, count(*) AS n_links FROM l GROUP BY a), c AS (SELECT row, min(root) AS component_id FROM r GROUP BY row)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e LEFT JOIN n USING (row) JOIN c USING (row)
+"""
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one whose texts are control strings: digests of what is read back from the format."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -106,6 +117,22 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: By definition: the share of each item's shingles in each document, and of the words of its question and answer.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS (SELECT item_id, text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL)),
+i AS (SELECT *, least(5, len(w)) AS n FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item_id, text, n, array_to_string(w[k:k + n - 1], ' ') AS shingle FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
+t AS (SELECT item_id, text, count(*) AS whole FROM g GROUP BY ALL),
+h AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS shingle FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i))),
+m AS (SELECT h.doc_id, g.item_id, g.text, count(*) AS held FROM h JOIN g USING (n, shingle) GROUP BY ALL),
+s AS (SELECT item_id, text, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?:])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: regexp_extract_all(lower(x), '[\p{L}\p{N}]+')), lambda x: len(x) > 0) AS parts FROM i),
+p AS (SELECT item_id, text, CASE WHEN len(parts) > 1 THEN [list_distinct(flatten(parts[:len(parts) - 1])), list_distinct(parts[len(parts)])] ELSE [] END AS parts FROM s)
+SELECT m.doc_id, m.item_id, m.held / t.whole AS overlap FROM m JOIN t USING (item_id, text) JOIN p USING (item_id, text) JOIN d USING (doc_id)
+WHERE m.held >= 0.8::DOUBLE * t.whole AND len(list_filter(parts, lambda x: len(list_filter(x, lambda y: list_contains(d.w, y))) < 0.8::DOUBLE * len(x))) = 0
+"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their quality score; no labels are read."""
     return quality.score_quality(table(spark, sf_dir, "documents"))
@@ -165,7 +192,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_embeddings": OP2_SQL,
     "op3_chat_format": OP3_SQL,
+    "op6_decontamination": OP6_SQL,
     "op5_mixing": OP5_SQL,
     "op10_substring": OP10_SQL,
 }

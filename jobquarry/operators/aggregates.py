@@ -181,10 +181,40 @@ def risk_coverage(rows: DataFrame, confidence: str, correct: str, thresholds: li
     return at.groupBy("threshold").agg((F.count_if(kept) / total).alias("coverage"), F.avg(F.when(kept, F.col("k"))).alias("accuracy"))
 
 
-def health(results: DataFrame) -> DataFrame:
-    """Outcomes by source: boards, failures, rows, and the first three errors."""
-    errors = F.slice(F.array_sort(F.collect_set("error")), 1, 3)
-    return results.groupBy("source").agg(F.count(F.lit(1)).alias("boards"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.sum("rows").alias("rows"), F.array_join(errors, "; ").alias("errors"))
+def health(results: DataFrame, order: str | None = None) -> DataFrame:
+    """Outcomes by source: boards, failures, rows, and the first three different errors, by ``order`` (else by text)."""
+    first = results.where("error IS NOT NULL").groupBy("source", "error").agg((F.min(order) if order else F.lit(0)).alias("__at"))
+    errors = first.groupBy(F.col("source").alias("__s")).agg(F.array_sort(F.collect_list(F.struct("__at", "error"))).alias("__e"))
+    counts = results.groupBy("source").agg(F.count(F.lit(1)).alias("boards"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.sum("rows").alias("rows"))
+    said = F.array_join(F.transform(F.slice("__e", 1, 3), lambda x: x["error"]), "; ")
+    return counts.join(errors, F.col("source") == F.col("__s"), "left").select("source", "boards", "failed", "rows", F.coalesce(said, F.lit("")).alias("errors"))
+
+
+def numeric_errors(rows: DataFrame, gold: str, predicted: str, tolerance: float) -> DataFrame:
+    """Of rows with both numbers: how many, the mean absolute error, and the share within a relative tolerance of the gold one."""
+    both = rows.where(F.col(gold).isNotNull() & F.col(predicted).isNotNull())
+    off = F.abs(F.col(predicted) - F.col(gold))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.avg(off).alias("mae"), F.avg((off <= tolerance * F.abs(F.col(gold))).cast("int")).alias("within"))
+
+
+def source_accuracy(candidates: DataFrame, curated: DataFrame) -> DataFrame:
+    """Of each sector source (``origin``, ``key``, ``sector``) how many keys are curated too, and how often both agree."""
+    both = candidates.join(curated.select("key", F.col("sector").alias("__gold")), "key")
+    return both.groupBy("origin").agg(F.count(F.lit(1)).alias("overlap"), F.avg((F.col("sector") == F.col("__gold")).cast("int")).alias("accuracy"))
+
+
+def shard_stats(parts: list[DataFrame], by: str = "source") -> DataFrame:
+    """Statistics of several shards as one: counts of one source are added up."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy(by).agg(*[F.sum(c).alias(c) for c in parts[0].columns if c != by])
+
+
+def status_markdown(coverage_row: dict, top: list[tuple[str, int]]) -> str:
+    """The coverage of a build as a page for people."""
+    lines = ["# Index status", "", *(f"- {name.replace('_', ' ')}: {value:,}" for name, value in coverage_row.items()), "", "| Company | Open roles |", "| --- | ---: |"]
+    return "\n".join([*lines, *(f"| {name} | {n:,} |" for name, n in top)]) + "\n"
 
 
 def count_sane(current: Column, baseline: Column, ratio: float = 0.5) -> Column:

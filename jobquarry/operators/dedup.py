@@ -77,9 +77,12 @@ def cluster(postings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def walk(block: pd.DataFrame) -> pd.DataFrame:
         groups: list[tuple[int, str, frozenset]] = []
         out = []
+        # The first group that fits a title and its cities stays the first one, so each such pair is looked up once.
+        known: dict[tuple[str, frozenset], int] = {}
         for one, title, own in block.sort_values("ord")[["ord", "title", "cities"]].itertuples(index=False):
-            own, found = frozenset(own), None
-            for head, head_title, head_cities in groups:
+            own = frozenset(own)
+            found = known.get((title, own))
+            for head, head_title, head_cities in groups if found is None else ():
                 # The ratio can reach the threshold only if the lengths are close; then it is worked out.
                 short, long = sorted((len(title), len(head_title)))
                 if 200.0 * short >= threshold * (short + long) and (not own or not head_cities or own & head_cities) and token_sort_ratio(title, head_title) >= threshold:
@@ -88,6 +91,8 @@ def cluster(postings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if found is None:
                 groups.append((one, title, own))
                 found = one
+            if title:
+                known[title, own] = found
             out.append((one, found))
         return pd.DataFrame(out, columns=["first", "cluster"])
 

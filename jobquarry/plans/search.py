@@ -171,6 +171,11 @@ def matching(jobs: DataFrame, q: SearchQuery, today: str, stemmed: bool = False)
     if not terms:
         return found
     if not stemmed:
+        # Rows without the terms as pieces of their text can't hold them as words; that is cheap to see, and most rows go.
+        text = F.lower(F.concat_ws(" ", *FTS_COLUMNS))
+        pieces = [F.contains(text, F.lit(t)) for t in terms if t != "and"]
+        if pieces:
+            found = found.where(reduce(lambda a, b: a | b if len(terms) >= 5 else a & b, pieces))
         return found.where(keyword_predicate(terms, {c: keys.tokens(F.col(c)) for c in FTS_COLUMNS}))
     held = found.withColumns({f"__{c}": stem.stems(F.col(c)) for c in FTS_COLUMNS})
     match = keyword_predicate([stem.stem(t) for t in terms], {c: F.col(f"__{c}") for c in FTS_COLUMNS})

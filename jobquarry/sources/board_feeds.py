@@ -204,7 +204,7 @@ def taleo(p: Payload) -> dict[str, Column]:
     parsed = F.try_variant_get(F.try_parse_json(coded), "$", "array<string>")
     label = F.coalesce(F.array_join(F.filter(F.transform(parsed, lambda x: F.trim(x)), lambda x: x != ""), ", "), F.try_variant_get(F.try_parse_json(coded), "$", "string"), coded)
     raw = F.nullif(F.when(older, p.get("location")).otherwise(label), F.lit(""))
-    posted = F.when(older, p.get("posted")).otherwise(F.element_at(cells, -1))
+    posted = F.when(older, p.get("posted")).otherwise(F.try_element_at(cells, F.lit(-1)))
     title = F.when(older, p.get("title")).otherwise(F.trim(cell(p.get("linkedColumn", "int"))))
     return {"source_job_id": F.coalesce(p.words("jobId"), p.words("contestNo"), p.words("id")), "title": title, "apply_url": p.words("url"), "posted_at": day(posted, *TALEO_DATES)} | labelled(raw)
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from jobquarry.functions import text
 
@@ -78,7 +79,7 @@ def filings(rows: DataFrame, employer: str = "employer", status: str = "status",
 def read_resumes(spark: SparkSession, path: str) -> DataFrame:
     """Résumés in text and Markdown files as ``path`` and ``text``; other kinds need a reader of their own."""
     files = spark.read.option("pathGlobFilter", "*.{txt,md}").option("recursiveFileLookup", "true").text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("text")).where("text <> ''")
+    return files.select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -138,5 +139,5 @@ def work(items: DataFrame, function, column: str, attempts: int = 1) -> DataFram
                 errors.append(error)
             yield rows.assign(result=results, error=errors)
 
-    schema = items.schema.add("result", "string").add("error", "string")
+    schema = T.StructType([*items.schema.fields, T.StructField("result", T.StringType()), T.StructField("error", T.StringType())])
     return items.mapInPandas(run, schema)

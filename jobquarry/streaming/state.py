@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -39,3 +41,42 @@ def board_states(stream: DataFrame) -> DataFrame:
         yield pd.DataFrame([(*key, day, errors, unchanged, throttle, last)], columns=["source", "token", "day", "consecutive_errors", "consecutive_unchanged", "throttle_score", "last_changed"])
 
     return stream.groupBy("source", "token").applyInPandasWithState(fold, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def build_from_stream(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Appends the stream's rows to the table at ``path`` batch by batch, each id once over all batches. A batch that is run again
+    after a failure replaces its own part, so none is written twice."""
+
+    def add(batch: DataFrame, nth: int) -> None:
+        spark = batch.sparkSession
+        first = batch.dropDuplicates(["id"])
+        others = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("part", T.LongType())])).parquet(path) if nth else None
+        fresh = first if others is None else first.join(others.where(F.col("part") != nth).select("id"), "id", "left_anti")
+        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/part={nth}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+class Heartbeat(StreamingQueryListener):
+    """Keeps the last progress of each query, and hands it to ``report`` as a dictionary, for example to be written."""
+
+    def __init__(self, report=None):
+        self.last: dict[str, dict] = {}
+        self.report = report or (lambda progress: None)
+
+    def _note(self, query: str, **more) -> None:
+        self.last[query] = self.last.get(query, {}) | more
+        self.report({"query": query} | self.last[query])
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self._note(str(event.id), state="running", batches=0, rows=0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p, before = event.progress, self.last.get(str(event.progress.id), {})
+        self._note(str(p.id), batches=p.batchId + 1, rows=before.get("rows", 0) + p.numInputRows, at=p.timestamp)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self._note(str(event.id), at=event.timestamp)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self._note(str(event.id), state="failed" if event.exception else "done")

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from jobquarry import __main__ as cli
 from jobquarry.functions import sectors
-from jobquarry.operators import boards, changes, embeddings
+from jobquarry.operators import aggregates, boards, changes, embeddings
 from jobquarry.plans import tools
 from jobquarry.plans.search import SearchQuery, search
 from jobquarry.sources import documents, resolver
 from jobquarry.sources.store import Store, fingerprint
+from jobquarry.streaming import state
 
 from .test_engine import jobs, postings
 
@@ -35,7 +36,7 @@ def test_keyword_results_come_best_first(spark):
 
 
 def test_resume_and_sponsors(spark):
-    df = jobs(spark, [{"id": f"{k}", "title": t, "company": c, "visa_sponsor": True, "posted_at": "2024-05-01", "last_seen": "2024-05-30"} for k, (t, c) in enumerate([("data engineer", "Acme"), ("nurse", "Beta"), ("data clerk", "Gamma")])])
+    df = jobs(spark, [{"id": f"{k}", "title": t, "company": c, "posted_at": "2024-05-01", "last_seen": "2024-05-30"} for k, (t, c) in enumerate([("data engineer", "Acme"), ("nurse", "Beta"), ("data clerk", "Gamma")])]).withColumns({"visa_sponsor": F.lit(True), "sponsorship_offered": F.lit(True)})
     best = tools.match_resume(df, "I engineer data pipelines", SearchQuery(limit=2), "2024-06-01").collect()
     assert [r.id for r in best] == ["0", "2"]
     stored = spark.createDataFrame([("1", [1.0, 0.0]), ("2", [0.0, 1.0])], "id string, embedding array<double>")
@@ -190,3 +191,30 @@ def test_store_keeps_what_readers_see(spark, tmp_path):
     store.write_text("manifest.json", json.dumps(store.manifest() | {"schema_version": 99}))
     with pytest.raises(ValueError, match="schema 99"):
         store.table("jobs")
+
+
+def test_measures_of_builds(spark):
+    rows = spark.createDataFrame([("s", "z first", 1, 1), ("s", "a later", 0, 2), ("s", "a later", 0, 3), ("s", None, 5, 4), ("t", None, 7, 5)], "source string, error string, rows long, at int")
+    got = {r.source: (r.boards, r.failed, r.rows, r.errors) for r in aggregates.health(rows, "at").collect()}
+    assert got == {"s": (4, 3, 6, "z first; a later"), "t": (1, 0, 7, "")}
+    numbers = spark.createDataFrame([(100.0, 104.0), (100.0, 120.0), (None, 1.0)], "g double, p double")
+    assert tuple(aggregates.numeric_errors(numbers, "g", "p", 0.05).first()) == (2, 12.0, 0.5)
+    found = spark.createDataFrame([("w", "a", "X"), ("w", "b", "Y"), ("w", "c", "Z")], "origin string, key string, sector string")
+    gold = spark.createDataFrame([("a", "X"), ("b", "X")], "key string, sector string")
+    assert tuple(aggregates.source_accuracy(found, gold).first()) == ("w", 2, 0.5)
+    part = spark.createDataFrame([("s", 2, 1)], "source string, checked long, expired long")
+    assert tuple(aggregates.shard_stats([part, part]).first()) == ("s", 4, 2)
+    assert "- active jobs: 1,234" in aggregates.status_markdown({"active_jobs": 1234}, [("acme", 5)])
+
+
+def test_builds_from_a_stream(spark, tmp_path):
+    beats = []
+    listener = state.Heartbeat(beats.append)
+    spark.streams.addListener(listener)
+    spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "id string, v int").write.parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema("id string, v int").parquet(f"{tmp_path}/in")
+    state.build_from_stream(read(), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination(120)
+    spark.createDataFrame([("b", 9), ("c", 3)], "id string, v int").write.mode("append").parquet(f"{tmp_path}/in")
+    state.build_from_stream(read(), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination(120)
+    assert sorted((r.id, r.v) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("a", 1), ("b", 2), ("c", 3)]
+    spark.streams.removeListener(listener)

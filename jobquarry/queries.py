@@ -567,7 +567,7 @@ def _board_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH o AS (SELECT user_id::VARCHAR AS token, strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'purchase') > 0 AS changed, count(*) FILTER (event_type = 'error') > 1 AS error,"
     " count(*) FILTER (event_type = 'click') / count(*)::DOUBLE AS rate FROM events GROUP BY 1, 2), k AS (SELECT token, max(day) FILTER (NOT error) AS fine FROM o GROUP BY token),"
     " s AS (SELECT o.token, max(day) AS last, max(day) FILTER (changed) AS changed, count(*) FILTER (day > coalesce(fine, '')) AS errors,"
-    " list_reduce(list_prepend(0.0::DOUBLE, list(rate ORDER BY day)), lambda a, b: round_even(a * 0.5::DOUBLE + b * 0.5::DOUBLE, 4)) AS throttle_score FROM o JOIN k ON o.token = k.token GROUP BY o.token),"
+    " list_reduce(list_prepend(0.0::DOUBLE, list(rate ORDER BY day)), lambda a, b: (floor((CAST(CAST(a * 0.5::DOUBLE + b * 0.5::DOUBLE AS VARCHAR) AS DECIMAL(30,20)) * 10000::DECIMAL(8,0)))::BIGINT + CASE WHEN (CAST(CAST(a * 0.5::DOUBLE + b * 0.5::DOUBLE AS VARCHAR) AS DECIMAL(30,20)) * 10000::DECIMAL(8,0)) - floor((CAST(CAST(a * 0.5::DOUBLE + b * 0.5::DOUBLE AS VARCHAR) AS DECIMAL(30,20)) * 10000::DECIMAL(8,0))) > 0.5 OR ((CAST(CAST(a * 0.5::DOUBLE + b * 0.5::DOUBLE AS VARCHAR) AS DECIMAL(30,20)) * 10000::DECIMAL(8,0)) - floor((CAST(CAST(a * 0.5::DOUBLE + b * 0.5::DOUBLE AS VARCHAR) AS DECIMAL(30,20)) * 10000::DECIMAL(8,0))) = 0.5 AND floor((CAST(CAST(a * 0.5::DOUBLE + b * 0.5::DOUBLE AS VARCHAR) AS DECIMAL(30,20)) * 10000::DECIMAL(8,0)))::BIGINT % 2 = 1) THEN 1 ELSE 0 END)::DOUBLE / 1e4::DOUBLE) AS throttle_score FROM o JOIN k ON o.token = k.token GROUP BY o.token),"
     " t AS (SELECT *, CASE WHEN errors >= 3 OR throttle_score >= 0.5 THEN 'quarantine' WHEN changed IS NULL OR date_diff('day', changed::DATE, last::DATE) <= 4 THEN 'hot'"
     " WHEN date_diff('day', changed::DATE, last::DATE) <= 14 THEN 'warm' ELSE 'cold' END AS tier FROM s)"
     " SELECT token, throttle_score, tier, strftime(last::DATE + CASE tier WHEN 'hot' THEN 0 WHEN 'warm' THEN 3 ELSE 7 END, '%Y-%m-%d') AS next_due FROM t"

@@ -94,28 +94,31 @@ def numbered(text: bytes) -> np.ndarray:
     """A number for each word of ``text``; numbers are equal exactly where words are."""
     starts, ends, hashes = tokens(text)
     _, first, numbers = np.unique(hashes, return_index=True, return_inverse=True)
-    size, same = ends - starts, first[numbers]
-    if (size == size[same]).all():
-        piece, before = np.frombuffer(text, np.uint8), np.cumsum(size) - size
-        step = max(1, len(starts) // max(1, int(size.sum()) >> 22))
-        for k in range(0, len(starts), step):
-            part = slice(k, k + step)
-            within = np.arange(int(size[part].sum())) - np.repeat(before[part] - before[k], size[part])
-            if (piece[np.repeat(starts[part], size[part]) + within] != piece[np.repeat(starts[same[part]], size[part]) + within]).any():
-                break
-        else:
+    size, same = ends - starts, starts[first[numbers]]
+    if (size == size[first[numbers]]).all():
+        # Words are compared with the first one of their number by eight bytes at a time.
+        padded = np.frombuffer(text + bytes(8), np.uint8)
+        eight = np.ndarray(len(padded) - 7, "<u8", padded, 0, (1,))
+        at, left, equal = starts, size, True
+        while equal and len(at):
+            shift = (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)) % np.uint64(64)
+            equal = bool(((eight[at] << shift) == (eight[same] << shift)).all())
+            more = left > 8
+            at, same, left = at[more] + 8, same[more] + 8, left[more] - 8
+        if equal:
             return numbers.astype(np.int32)
     known: dict[bytes, int] = {}
     return np.array([known.setdefault(text[s:e], len(known)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int32)
 
 
 def runs_hashed(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of each ``size`` words in a row."""
-    weights = np.random.default_rng(99).integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    total = np.zeros(max(0, len(words) - size + 1), np.uint64)
-    for k in range(size):
-        total += words[k : k + len(total)] * weights[k]
-    return mix(total)
+    """Hashes of each ``size`` words in a row, put together from those of half as many."""
+    if size == 1:
+        return words
+    half = size // 2
+    left, right = runs_hashed(words, half), runs_hashed(words, size - half)
+    n = max(0, len(words) - size + 1)
+    return mix(left[:n] * np.uint64(0x9E3779B97F4A7C15) + right[half : half + n] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(size))
 
 
 def least_of(h: np.ndarray, size: int) -> np.ndarray:
@@ -145,20 +148,23 @@ def chunks(batches):
 
 
 class Suffixes:
-    """The suffixes of one document: anchors, first and last start of their windows, hash of prefix and of all words."""
-
-    def __init__(self, text: bytes, window: int):
-        self.starts, self.ends, words = tokens(text)
-        short = min(PREFIX_WORDS, window)
-        if len(words) < window:
-            self.pos = self.first = self.last = np.zeros(0, np.int64)
-            self.prefix = self.whole = self.windows = np.zeros(0, np.uint64)
-            return
+    """The suffixes of some documents (id, tag, text), in their order: the document of each, its anchor, first and last
+    start of its windows (as words of all documents together), and hashes of its prefix and of all its words."""
+
+    def __init__(self, docs: list, window: int):
+        self.text = b" ".join(text for _, _, text in docs)
+        self.starts, self.ends, words = tokens(self.text)
+        offsets = np.cumsum([0] + [len(text) + 1 for _, _, text in docs])
+        #: The first word of each document, and one after the last.
+        self.word = np.searchsorted(self.starts, offsets)
+        short, n = min(PREFIX_WORDS, window), max(0, len(words) - window + 1)
         h, self.windows = runs_hashed(words, short), runs_hashed(words, window)
-        at = least_of(h, window - short + 1)
-        cuts = np.flatnonzero(np.diff(at)) + 1
-        self.first, self.last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(at)]]) - 1
-        self.pos = at[self.first]
+        doc = np.repeat(np.arange(len(docs)), np.diff(self.word))
+        starts = np.flatnonzero(doc[:n] == doc[window - 1 : window - 1 + n])
+        at = least_of(h, window - short + 1)[starts] if n else starts
+        new = np.concatenate([[True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)]) if len(starts) else np.zeros(0, bool)
+        self.first, self.last = starts[new], starts[np.concatenate([new[1:], [True]])] if len(starts) else starts
+        self.pos, self.doc = at[new], doc[self.first]
         self.prefix = mix(h[self.pos] + np.uint64(0x9E3779B97F4A7C15))
         self.whole = mix(self.windows[self.first] * np.uint64(3) + self.windows[self.last])
 
@@ -169,11 +175,10 @@ def census(rows: DataFrame, window: int, groups: int, group_rows: int) -> dict[i
 
     def count(batches):
         for docs in chunks(batches):
-            seen = [Suffixes(text, window) for _, _, text in docs]
-            prefix, whole = np.concatenate([s.prefix for s in seen]), np.concatenate([s.whole for s in seen])
-            size = np.concatenate([s.last - s.first + 1 for s in seen])
-            one = np.unique(whole, return_index=True)[1]
-            own, at = np.unique(prefix[one] % np.uint64(groups), return_inverse=True)
+            seen = Suffixes(docs, window)
+            size = seen.last - seen.first + 1
+            one = np.unique(seen.whole, return_index=True)[1]
+            own, at = np.unique(seen.prefix[one] % np.uint64(groups), return_inverse=True)
             columns = [own.astype(np.int64), np.bincount(at, minlength=len(own)), np.bincount(at, size[one], len(own)).astype(np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["grp", "n", "windows"])
 
@@ -250,36 +255,40 @@ def repeated_starts(rows: DataFrame, window: int, group_rows: int = GROUP_ROWS)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(GROUPS, size // (SUFFIX_BYTES * group_rows) + 1)
     large = census(rows, window, groups, group_rows)
-    common, spread = np.array(sorted(large), np.uint64), max(1, sum(large.values()) // group_rows)
+    common, spread = np.array(sorted(large), np.int64), max(1, sum(large.values()) // group_rows)
 
     def send(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for docs in chunks(batches):
+            own = Suffixes(docs, window)
+            group = (own.prefix % np.uint64(groups)).astype(np.int64)
+            pos, first, last, doc = own.pos, own.first, own.last, own.doc
+            split = np.isin(group, common)
+            if split.any():
+                count = (last - first + 1)[split]
+                single = np.repeat(first[split] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+                group = np.concatenate([group[~split], groups + (own.windows[single] % np.uint64(spread)).astype(np.int64)])
+                pos, first, last = np.concatenate([pos[~split], single]), np.concatenate([first[~split], single]), np.concatenate([last[~split], single])
+                doc = np.concatenate([doc[~split], np.repeat(doc[split], count)])
+                by = np.argsort(first, kind="stable")
+                group, pos, first, last, doc = (x[by] for x in (group, pos, first, last, doc))
+            text, base = own.text, own.word[doc]
+            begin, end = own.starts[first].tolist(), own.ends[last + window - 1].tolist()
             known: dict[tuple, tuple] = {}
             sent: dict[int, list] = {}
-            marks = []
-            for one, tag, text in docs:
-                own = Suffixes(text, window)
-                if not len(own.pos):
-                    continue
-                group = (own.prefix % np.uint64(groups)).astype(np.int64)
-                split = np.isin(own.prefix % np.uint64(groups), common)
-                pos, first, last = own.pos[~split], own.first[~split], own.last[~split]
-                group = group[~split]
-                if split.any():
-                    single = np.concatenate([np.arange(s, e + 1) for s, e in zip(own.first[split].tolist(), own.last[split].tolist(), strict=True)])
-                    pos, first, last = (np.concatenate([x, single]) for x in (pos, first, last))
-                    group = np.concatenate([group, groups + (own.windows[single] % np.uint64(spread)).astype(np.int64)])
-                begin, end = own.starts[first].tolist(), own.ends[last + window - 1].tolist()
-                for g, p, f, u, b, e in zip(group.tolist(), pos.tolist(), first.tolist(), last.tolist(), begin, end, strict=True):
-                    words = text[b:e]
-                    at = known.setdefault((words, p - f), (one, p))
-                    if at[0] == one and at[1] == p:
-                        sent.setdefault(g, []).append(((one, tag, p, p - f, u + window - p), words))
-                    else:
-                        marks.append((one, tag, f, u + 1))
+            marks: list[list] = []
+            for g, d, p, f, u, b, e in zip(group.tolist(), doc.tolist(), (pos - base).tolist(), (first - base).tolist(), (last - base).tolist(), begin, end, strict=True):
+                one, tag, _ = docs[d]
+                words = text[b:e]
+                at = known.setdefault((words, p - f), (one, p))
+                if at[0] == one and at[1] == p:
+                    sent.setdefault(g, []).append(((one, tag, p, p - f, u + window - p), words))
+                elif marks and marks[-1][0] == one and marks[-1][1] == tag and marks[-1][3] == f:
+                    marks[-1][3] = u + 1
+                else:
+                    marks.append([one, tag, f, u + 1])
             if marks:
-                found = np.array(marks, _MARK)
+                found = np.array(list(map(tuple, marks)), _MARK)
                 where = mix(found["id"].astype(np.uint64)) % np.uint64(groups)
                 for g in np.unique(where).tolist():
                     sent[-1 - g] = found[where == g]

@@ -46,6 +46,7 @@ ROWS = (
     + [(10 + k, TEXTS[0].replace(".", " ."), "s") for k in range(3)]  # repeated texts
     + [(20, TEXTS[1].upper(), "s"), (21, None, "s"), (22, "", "s"), (23, "  \n ", None), (24, "one two", "s"), (25, "One  TWO", "s"), (26, "É é", "s"), (26, "É é", "s")]
     + [(30 + k, " ".join(TEXTS[2].split()[:-1] + [f"w{k}"]), "s") for k in range(4)]  # one word differs
+    + [(40 + k, prose(40, 9_000) + " end" * k, "s") for k in range(3)]  # long ones
 )
 
 
@@ -158,6 +159,7 @@ def test_repeats_against_brute_force(spark, group_rows):
     passage = words(3, 30)
     rows = [(k, " ".join(words(10 + k, 40) + passage + words(90 + k, 10)), "s") for k in range(6)]
     rows += [(20, "  ".join(passage * 3), "s"), (21, " ".join(["the"] * 70), "s"), (22, None, "s"), (23, "", "s"), (24, "short text", "s"), (25, rows[2][1], "s"), (26, " ".join(["the"] * 25), "s")]
+    rows += [(30, " ".join(words(700, 3_000)), "s"), (31, " ".join(words(700, 3_000)[1_000:] + passage + words(700, 900)), "s")]
     got = substring.drop_repeats(documents(spark, rows, True), window=20, group_rows=group_rows).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in got} == kept_words(rows, 20)
     assert {r.doc_id: r.removed for r in got}[1] == "40:70"
@@ -185,6 +187,8 @@ def test_words_of_one_number_are_equal(monkeypatch):
     assert substring.numbered(text).tolist() == [substring.numbered(text).tolist()[k] for k in (0, 1, 0, 3, 1, 5, 0)]
     real = substring.tokens
     monkeypatch.setattr(substring, "tokens", lambda t: (*real(t)[:2], real(t)[2] % np.uint64(2)))  # hashes that collide
+    long = b"x" * 30 + b" " + b"x" * 29 + b"y " + b"x" * 30 + b" " + b"x" * 8 + b" " + b"x" * 8
+    assert substring.numbered(long).tolist() == [0, 1, 0, 2, 2]
     assert len(set(substring.numbered(b"a b c d e f")) - {0}) == 5 and substring.numbered(b"aa b aa c").tolist() == [0, 1, 0, 2]
 
 
@@ -194,11 +198,11 @@ def test_trees_give_the_windows_that_start_earlier(window):
     texts = [" ".join(rng.choice(list("abc"), rng.integers(0, 90))) for _ in range(30)]
     texts += [texts[3] + " " + texts[4], "x " * 70]
     sent, data, want, seen = [], [], set(), set()
+    own = substring.Suffixes([(k, 7, t.encode()) for k, t in enumerate(texts)], window)
+    for one, p, f, u in zip(own.doc.tolist(), own.pos.tolist(), own.first.tolist(), own.last.tolist(), strict=True):
+        sent.append((one, 7, p - own.word[one], p - f, u + window - p))
+        data.append(own.text[own.starts[f] : own.ends[u + window - 1]])
     for one, text in enumerate(texts):
-        own = substring.Suffixes(text.encode(), window)
-        for p, f, u in zip(own.pos.tolist(), own.first.tolist(), own.last.tolist(), strict=True):
-            sent.append((one, 7, p, p - f, u + window - p))
-            data.append(text.encode()[own.starts[f] : own.ends[u + window - 1]])
         w = text.split()
         for k in range(len(w) - window + 1):
             if tuple(w[k : k + window]) in seen:

@@ -101,13 +101,14 @@ def mix_sources(
     copy = F.row_number().over(Window.partitionBy(f"{p}key").orderBy(F.xxhash64(*hashed)))
     met = docs.withColumn(f"{p}key", key).join(times, f"{p}key").withColumn(f"{p}copy", copy)
     size, target = F.col(f"{p}size"), F.col(f"{p}target")
+    divisor = F.when(target > 0, target)
     done = F.col(f"{p}done") + (F.col(f"{p}copy") - 1) * size
     taken = F.lit(0).cast("long")
     for k in range(repeats):
-        finish = (done + F.col(f"{p}source_size") * k) / target
+        finish = (done + F.col(f"{p}source_size") * k) / divisor
         before = (finish < F.lit(last)) | ((finish == F.lit(last)) & (F.col(f"{p}nth") <= F.lit(last_of)))
-        taken = taken + F.when((target > 0) & before, size).otherwise(F.lit(0))
-    added = {"size": size, "source_size": F.col(f"{p}source_size"), "target": target, "taken": taken, "virtual_finish": F.when(target > 0, done / target)}
+        taken = taken + F.when(before, size).otherwise(F.lit(0))
+    added = {"size": size, "source_size": F.col(f"{p}source_size"), "target": target, "taken": taken, "virtual_finish": done / divisor}
     mixed = met.select(*[F.col(f"`{c}`") for c in docs.columns if c not in added], *[v.alias(c) for c, v in added.items()])
     return mixed.orderBy(F.col("virtual_finish").asc_nulls_last(), id_col)
 
@@ -117,7 +118,7 @@ def _last_taken(placed: DataFrame, share: float, repeats: int) -> tuple[float, i
 
     ``placed`` has a row for each document with ``done`` (words its queue has served when it first ends). Servings are cut
     into ranges of virtual time, which are added up; the range in which the budget ends is added up row by row."""
-    finish = (F.col("done") + F.col("source_size") * F.col("pass")) / F.col("target")
+    finish = (F.col("done") + F.col("source_size") * F.col("pass")) / F.when(F.col("target") > 0, F.col("target"))
     served = placed.where("target > 0 AND size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
     served = served.select("nth", "size", finish.alias("finish"), F.floor(finish * F.greatest(F.lit(16.0), F.sqrt(F.col("rows").cast("double")))).cast("long").alias("range"))
     totals = placed.groupBy("nth").agg(F.first("source_size").alias("size")).agg(F.sum("size")).first()[0] or 0

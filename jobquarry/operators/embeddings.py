@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobquarry.functions import keys, text, vectors
+from jobquarry.operators import ordering
 
 #: Rows that one run embeds, at most; the bound is the rule, the rest is embedded on later runs.
 BUDGET = 120_000
@@ -46,7 +47,7 @@ def to_embed(rows: DataFrame, stored: DataFrame, budget: int = BUDGET, nth: int
     own = rows.where("status = 'active'").select("id", row_text(rows).alias("text"), F.substring(F.sha1(row_text(rows)), 1, 16).alias("sig"))
     known = stored.select("id", F.col("sig").alias("__sig"))
     missing = own.join(known, "id", "left").where(F.col("__sig").isNull() | (F.col("__sig") != F.col("sig"))).drop("__sig")
-    return shard(missing, nth, shards).orderBy("id").limit(budget)
+    return ordering.head_by(shard(missing, nth, shards), "id", budget)
 
 
 def reconcile(stored: DataFrame, rows: DataFrame, fresh: DataFrame) -> DataFrame:

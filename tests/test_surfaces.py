@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jobquarry import __main__ as cli
 from jobquarry.functions import sectors
-from jobquarry.operators import aggregates, boards, changes, embeddings
+from jobquarry.operators import aggregates, boards, changes, embeddings, ordering
 from jobquarry.plans import tools
 from jobquarry.plans.search import SearchQuery, search
 from jobquarry.sources import documents, resolver
@@ -124,11 +124,20 @@ def test_boards(spark):
     assert [r.id for r in boards.confirmed_relist(missing, again).collect()] == ["a"]
 
 
+def test_the_first_rows_come_by_counted_cells(spark):
+    ids = [None, None, *[f"{k * 7919 % 1000:03}" for k in range(1000)], *["500"] * 30]
+    rows, order = spark.createDataFrame([(x,) for x in ids], "id string").repartition(3), sorted(ids, key=lambda x: x or "")
+    for n in (0, 1, 2, 60, 333, 510, 1031, 1032, 10**9):
+        assert [r.id for r in ordering.head_by(rows, "id", n, heap=20, cells=5).collect()] == order[:n], n
+
+
 def test_vectors_are_kept_up(spark):
     rows = jobs(spark, [{"id": f"{k}", "title": f"t{k}"} for k in range(6)] + [{"id": "z", "status": "expired"}])
     want = embeddings.to_embed(rows, spark.createDataFrame([], "id string, sig string"), budget=4)
     encoded = embeddings.embed(want, lambda texts: [[float(len(t)), 1.0] for t in texts], batch=2)
     assert [r.id for r in encoded.orderBy("id").collect()] == ["0", "1", "2", "3"] and encoded.first().embedding == [2.0, 1.0]
+    everything = embeddings.to_embed(rows, want.limit(0), budget=10**9)
+    assert "TakeOrdered" not in everything._jdf.queryExecution().executedPlan().toString() and [r.id for r in everything.collect()] == list("012345")
     shards = [{r.id for r in embeddings.shard(rows, k, 3).collect()} for k in range(3)]
     assert sorted(x for s in shards for x in s) == sorted(r.id for r in rows.collect())
     moved = embeddings.migrate(encoded.select("id", "embedding"), rows)

@@ -1,5 +1,6 @@
 """Tools, addresses, boards, vectors, documents and the store's promises."""
 
+import hashlib
 import io
 import json
 import threading
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobquarry import __main__ as cli
-from jobquarry.functions import sectors
+from jobquarry.functions import keys, sectors
 from jobquarry.operators import aggregates, boards, changes, embeddings, ordering
 from jobquarry.plans import tools
 from jobquarry.plans.search import SearchQuery, search
@@ -147,6 +148,16 @@ def test_vectors_are_kept_up(spark):
     assert got == {("q", "a"): 1.0, ("q", "c"): 0.707107, ("r", "c"): 0.707107, ("r", "a"): 0.0}
 
 
+def test_a_single_shard_takes_no_digests(spark):
+    rows = spark.createDataFrame([("a",), ("b",), (None,)], "id string")
+    one = embeddings.shard(rows, 0, 1)
+    assert "sha1" not in one._jdf.queryExecution().optimizedPlan().toString() and sorted(r.id for r in one.collect()) == ["a", "b"]
+    assert embeddings.shard(rows, 1, 1).count() == 0
+    big = 2**31 - 1
+    got = rows.select("id", keys.sha1_mod(F.col("id"), big).alias("m")).collect()
+    assert {r.id: r.m for r in got} == {None: None} | {x: int(hashlib.sha1(x.encode()).hexdigest(), 16) % big for x in "ab"}
+
+
 def test_sector_model_abstains(spark):
     model = {"labels": ["A", "B"], "weights": np.eye(2).tolist(), "bias": [0, 0], "a": [4, 4], "b": [0, 0], "centroids": np.eye(2).tolist(), "least_p": 0.6, "least_margin": 0.2, "least_sim": 0.9}
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.7, 0.7]), (2, [0.0, 1.0])], "k int, f array<double>")

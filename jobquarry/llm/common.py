@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Observation, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word, as every contract here defines it: a run without the six ASCII white-space characters.
@@ -15,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Added columns start with this, so that columns of the input do not clash with them.
 PREFIX = "__jq_"
 
+#: Bits that a filter of keys has for each of them, and at most (8 MB).
+MARKS, MOST_MARKS = 32, 1 << 26
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables that driver and executors share.
@@ -73,15 +78,17 @@ def observation_of(df: DataFrame, observation: Observation) -> DataFrame:
     )
 
 
-def block_grid(rows: DataFrame, shard: list[str], uid: str, block_rows: int) -> DataFrame:
+def block_grid(rows: DataFrame, shard: list[str], uid: str, block_rows: int, wide_rows: int = 0, few: int = 0) -> DataFrame:
     """Split every shard into blocks and send each row to the pairs of blocks that hold it.
 
     Adds ``blk`` (the row's block), ``bi`` and ``bj`` (``bi <= bj``). Within the group (shard, bi, bj) the
     rows of block ``bi`` meet those of ``bj``, so each pair of rows of a shard meets exactly once, and no
     task holds more than about ``2 * block_rows`` rows of even the largest shard. A row is copied once for
-    each block of its own shard.
+    each block of its own shard; with ``wide_rows``, a shard of more than ``few`` blocks gets blocks of up to so
+    many rows instead of more copies.
     """
-    nb = F.ceil(F.count(F.lit(1)) / F.lit(float(block_rows))).cast("int").alias("nb")
+    blocks = lambda n: F.ceil(F.count(F.lit(1)) / F.lit(float(n)))
+    nb = (F.greatest(F.least(blocks(block_rows), F.lit(few)), blocks(wide_rows)) if wide_rows else blocks(block_rows)).cast("int").alias("nb")
     sizes = rows.groupBy(*[F.col(c).alias(f"{PREFIX}{c}") for c in shard]).agg(nb)
     joined = rows.join(sizes, [F.col(c) == F.col(f"{PREFIX}{c}") for c in shard])
     return (
@@ -93,6 +100,25 @@ def block_grid(rows: DataFrame, shard: list[str], uid: str, block_rows: int) ->
     )
 
 
+def among(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test of hashes for whether they may be among those of the written table ``keys``: true for all that are, and for about
+    one of ``MARKS`` others (for more of them, if all the marks would take over ``MOST_MARKS`` bits). It says which rows an exact
+    join has to move. Only the hash of a row leaves the JVM."""
+    bits = min(MOST_MARKS, 1 << max(10, (MARKS * keys.count() - 1).bit_length()))
+    slot = F.col(column).bitwiseAND(F.lit(bits - 1))
+    word = F.expr(f"bit_or(shiftleft(1L, CAST(`{column}` & 63 AS INT)))").alias("word")
+    found = keys.groupBy(F.shiftright(slot, 6).alias("at")).agg(word).toArrow()
+    words = np.zeros(bits >> 6, np.int64)
+    words[found.column("at").to_numpy()] = found.column("word").to_numpy()
+
+    @F.pandas_udf("boolean")
+    def test(key: pd.Series) -> pd.Series:
+        at = key.to_numpy() & (bits - 1)
+        return pd.Series((words[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return test
+
+
 class Labels:
     """Labels of positions, contracted by arrays of linked pairs; a label is a position with the same label."""
 

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobquarry.llm.common import PREFIX, Labels, Workspace, block_grid, connected_components
+from jobquarry.llm.common import PREFIX, Labels, Workspace, among, block_grid, connected_components
 
 #: Rows of the sample that lays out a tree, and of its leaves at least.
 SAMPLE_ROWS = 20_000
@@ -52,6 +52,8 @@ DIRECT = 512
 #: Shingles of a block of sets that are compared exactly; blocks into which smaller groups are cut for more tasks.
 BLOCK_SHINGLES = 2_000_000
 BLOCKS = 8
+#: Rows of a block of candidates, and of one where a range of sizes has over BLOCKS of them.
+RANGE_ROWS, WIDE_RANGE_ROWS = 20_000, 100_000
 #: Up to this size of sets the odds of bits are counted out, beyond it they are those of large sets.
 COUNTED = 64
 
@@ -313,7 +315,7 @@ def candidates(ws: Workspace, distinct: DataFrame, similarity: float, slack: flo
         linked = np.flatnonzero(labels.of != np.arange(len(node)))
         return pa.table({"a": node[linked], "b": node[labels.of[linked]]})
 
-    edges = block_grid(placed, ["shard"], "node", 20_000).groupBy("shard", "bi", "bj").applyInArrow(near, "a long, b long")
+    edges = block_grid(placed, ["shard"], "node", RANGE_ROWS, WIDE_RANGE_ROWS, BLOCKS).groupBy("shard", "bi", "bj").applyInArrow(near, "a long, b long")
     return ws.write(connected_components(ws, edges, "a", "b"))
 
 
@@ -364,7 +366,7 @@ def near_duplicates(ws: Workspace, rows: DataFrame, texts: DataFrame, shingle_wo
             columns = [*(batch.column(c) for c in ("node", "size", "root", "nb")), pa.array(sets, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["node", "size", "root", "nb", "set"])
 
-    sets = texts.select("key", "text").join(picked, "key").dropDuplicates(["key"]).select("node", "size", "root", "nb", "text")
+    sets = texts.select("key", "text").where(among(picked, "key")(F.col("key"))).join(picked, "key").dropDuplicates(["key"]).select("node", "size", "root", "nb", "text")
     sets = sets.mapInArrow(read, "node long, size long, root long, nb int, set array<long>")
     grid = (
         sets.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
@@ -391,7 +393,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     equal throughout one stays). All columns are returned as they came."""
     spark = docs.sparkSession
     ws = Workspace(spark, "dedup")
-    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map", "variant"))]
+    quoted = [F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema.fields]
+    hashed = [c for c, f in zip(quoted, docs.schema.fields, strict=True) if not any(x in f.dataType.simpleString() for x in ("map", "variant"))]
     key = F.xxhash64(*hashed)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).cast("string").alias("text"))
     rows = ws.write(fingerprints(texts, shingle_words, distinct=True))
@@ -399,6 +402,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key"))
     best = rows.groupBy("node").agg(first.alias("first")).join(groups, "node").groupBy("group").agg(F.min("first").alias("first"))
     winners = ws.write(best.select(F.col("first.key").alias(PREFIX + "key")))
-    kept = docs.withColumn(PREFIX + "key", key).join(winners, PREFIX + "key", "left_semi")
+    # Only rows that go or whose key repeats need an exact look, and those that share their marks; the others stay where they are.
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(winners, F.col("key") == winners[PREFIX + "key"], "left")
+    doubtful = among(ws.write(counts.where(F.col(PREFIX + "key").isNull() | (F.col("n") > 1)).select("key")), "key")
+    keyed = docs.withColumn(PREFIX + "key", key)
+    sure, rest = keyed.where(~doubtful(F.col(PREFIX + "key"))), keyed.where(doubtful(F.col(PREFIX + "key")))
     nth = F.row_number().over(Window.partitionBy(PREFIX + "key").orderBy(PREFIX + "key"))
-    return kept.withColumn(PREFIX + "nth", nth).where(F.col(PREFIX + "nth") == 1).drop(PREFIX + "key", PREFIX + "nth")
+    first = rest.join(winners, PREFIX + "key", "left_semi").withColumn(PREFIX + "nth", nth).where(F.col(PREFIX + "nth") == 1)
+    return sure.select(*quoted).unionAll(first.select(*quoted))

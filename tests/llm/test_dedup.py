@@ -123,6 +123,47 @@ def test_near_copies_have_the_similarity(spark):
     assert kept == set(components(range(len(texts)), links).values())
 
 
+def test_only_doubtful_rows_are_moved(spark):
+    """Texts that stay are not shuffled: exchanges with texts get the copies and what shares their marks."""
+    rows = [(k, " ".join(words(4000 + k, 12)), "s") for k in range(400)]
+    rows += [(500 + k, rows[k][1], "s") for k in range(6)] + [rows[7]] * 2
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        kept = simhash.drop_near_duplicates(documents(spark, rows, True))
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(400))
+        todo, moved = [kept._jdf.queryExecution().executedPlan()], []
+        while todo:
+            p = todo.pop()
+            if p.nodeName() == "Exchange" and "text#" in p.output().mkString(","):
+                moved.append(p.metrics().apply("shuffleRecordsWritten").value())
+            todo += [p.children().apply(k) for k in range(p.children().size())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert moved and 9 <= max(moved) < 100
+
+
+def test_marks_hold_all_keys(spark):
+    r = np.random.default_rng(4).integers(-(2**63), 2**63, 4000)
+    ws = common.Workspace(spark, "marks")
+    rows = ws.write(spark.createDataFrame([(int(x), k < 500) for k, x in enumerate(r)] + [(-1, True), (63, True), (-(2**63), True)], "key long, own boolean"))
+    keys = ws.write(rows.where("own").select("key"))
+    got = rows.withColumn("may", common.among(keys, "key")(F.col("key"))).collect()
+    assert all(x.may for x in got if x.own) and sum(x.may for x in got if not x.own) < 300
+    assert not any(x.may for x in rows.select(common.among(keys.limit(0), "key")(F.col("key")).alias("may")).collect())
+
+
+def test_large_shards_get_larger_blocks_instead_of_more_copies(spark):
+    rows = spark.range(1000).select("id", (F.col("id") > 969).cast("int").alias("shard"))
+    grid = common.block_grid(rows, ["shard"], "id", 10, 200, 4).collect()
+    copies = {k: sum(x.id == k for x in grid) for k in (0, 500, 970, 999)}
+    assert copies == {0: 5, 500: 5, 970: 3, 999: 3}
+    meet = {}
+    for x in grid:
+        meet.setdefault((x.shard, x.bi, x.bj), []).append(x)
+    pairs = sorted((a.id, b.id) for g in meet.values() for a in g for b in g if a.id < b.id and (a.bi == a.bj or a.blk != b.blk) and a.shard)
+    assert pairs == [(a, b) for a in range(970, 1000) for b in range(a + 1, 1000)]
+
+
 @pytest.mark.parametrize("blocks", [1, 5])
 def test_sets_link_in_blocks_as_by_brute_force(blocks):
     r = np.random.default_rng(5)
